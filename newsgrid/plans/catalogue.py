@@ -1,18 +1,342 @@
-"""All queries of the core by name, and their SQL."""
+"""All queries of the core by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsgrid.operators import articles as A, classify as C, reports as R, summarise as S, words as W
 from newsgrid.operators.instants import found_instants
+from newsgrid.operators.text import clean_text, html_to_text
 from newsgrid.session import table
+from newsgrid.sources.feeds import parse_feed
+from newsgrid.sources.web import scrape
 
+AS_OF = "2025-09-01 00:00:00"
+THEME = "Model Research"
+SOURCE = "Copper Lantern AI"
+SOURCES = ("Copper Lantern AI", "Silbenwerk", "Dozen Crows")
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return found_instants(table(spark, d, "article"), table(spark, d, "sources"))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found}
-SQL: dict[str, str] = {}
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def base(spark: SparkSession, d: str) -> DataFrame:
+    """Stored articles as the operators take them: the time they were fetched stands for their date, missing texts are ''."""
+    return table(spark, d, "article").select(
+        "id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("link", F.lit("")).alias("link"),
+        F.col("fetched_at").alias("published_at"), "source_name", "source_ord", "entry_ord",
+    )
+
+
+def recent(spark: SparkSession, d: str) -> DataFrame:
+    return A.keep_first(A.lookback(base(spark, d), AS_OF))
+
+
+def classified(spark: SparkSession, d: str) -> DataFrame:
+    return C.classify_articles(recent(spark, d), table(spark, d, "theme_keyword"))
+
+
+BASE = """base AS (SELECT id, coalesce(title, '') AS title, coalesce(summary, '') AS summary, coalesce(link, '') AS link, fetched_at AS published_at,
+ source_name, source_ord, entry_ord FROM article)"""
+ORDER = "source_ord NULLS LAST, entry_ord NULLS LAST, published_at NULLS LAST, id"
+LOOK = f"look AS (SELECT * FROM base WHERE published_at IS NULL OR published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY)"
+RECENT = f"recent AS (SELECT * FROM look QUALIFY row_number() OVER (PARTITION BY link ORDER BY {ORDER}) = 1)"
+_W = r"[\p{L}\p{N}_]"
+_N = r"[^\p{L}\p{N}_]"
+# Every other character is doubled, so that neighbouring keywords don't share the one between them.
+SCORES = rf"""kw AS (SELECT theme_ord, theme, lower(keyword) AS k FROM theme_keyword WHERE theme IS NOT NULL AND keyword IS NOT NULL),
+pat AS (SELECT theme_ord, theme, k, (CASE WHEN regexp_matches(left(k, 1), '{_W}') THEN '(^|{_N})' ELSE '{_W}' END)
+ || regexp_escape(regexp_replace(k, '({_N})', '\1\1', 'g')) || (CASE WHEN regexp_matches(right(k, 1), '{_W}') THEN '($|{_N})' ELSE '{_W}' END) AS p FROM kw),
+txt AS (SELECT id, lower(title || ' ' || summary) AS t, regexp_replace(lower(title || ' ' || summary), '({_N})', '\1\1', 'g') AS tt FROM recent),
+hit AS (SELECT id, theme_ord, theme, len(regexp_extract_all(tt, p)) AS n FROM txt JOIN pat ON contains(t, k)),
+score AS (SELECT id, theme_ord, theme, sum(n)::BIGINT AS score FROM hit GROUP BY ALL HAVING sum(n) > 0),
+best AS (SELECT id, theme, score FROM score QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, theme_ord) = 1),
+dim AS (SELECT theme, min(theme_ord) AS theme_ord FROM theme_keyword GROUP BY theme),
+cls AS (SELECT r.*, coalesce(b.theme, (SELECT theme FROM dim ORDER BY theme_ord LIMIT 1)) AS theme, CASE WHEN b.theme IS NULL THEN 2 ELSE 0 END AS class_phase
+ FROM recent r LEFT JOIN best b ON r.id = b.id)"""
+CLS = f"WITH {BASE}, {LOOK}, {RECENT}, {SCORES}"
+CORDER = f"class_phase, {ORDER}"
+
+
+@query(f"WITH {BASE} SELECT id, md5(link || title) AS own_id, substr(summary, 1, 500) AS summary, strftime(published_at, '%Y-%m-%dT%H:%M:%S') AS published_date FROM base")
+def articles_projection(spark, d):
+    return base(spark, d).select("id", A.item_id(F.col("link"), F.col("title")).alias("own_id"), F.substring("summary", 1, 500).alias("summary"), A.iso_date(F.col("published_at")).alias("published_date"))
+
+
+@query(f"WITH {BASE}, {LOOK} SELECT id, published_at FROM look")
+def lookback_filter(spark, d):
+    return A.lookback(base(spark, d), AS_OF).select("id", "published_at")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY")
+def lookback_events(spark, d):
+    return A.lookback(table(spark, d, "events").withColumn("published_at", F.col("ts")), "2024-01-31 00:00:00").select("event_id", "ts")
+
+
+@query(f"WITH {BASE}, kind AS (SELECT name, min(type) AS type FROM sources GROUP BY name) SELECT id, title FROM base LEFT JOIN kind ON source_name = name WHERE length(title) >= CASE WHEN type = 'web' THEN 10 ELSE 1 END")
+def title_filters(spark, d):
+    return A.with_title(base(spark, d), table(spark, d, "sources")).select("id", "title")
+
+
+@query(f"WITH {BASE}, one AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY link ORDER BY {ORDER}) = 1) SELECT id, link, title, published_at, source_name FROM one")
+def dedup_keep_first(spark, d):
+    return A.keep_first(base(spark, d)).select("id", "link", "title", "published_at", "source_name")
+
+
+@query(
+    f"WITH {BASE}, kind AS (SELECT name, min(type) AS type FROM sources GROUP BY name), two AS (SELECT b.*, CASE WHEN type = 'web' THEN 1 ELSE 0 END AS k FROM base b LEFT JOIN kind ON source_name = name), "
+    f"one AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY link ORDER BY k, {ORDER}) = 1) SELECT id, link, source_name FROM one"
+)
+def union_dedup_sources(spark, d):
+    kinds = table(spark, d, "sources").groupBy(F.col("name").alias("source_name")).agg(F.min("type").alias("type"))
+    rows = base(spark, d).join(F.broadcast(kinds), "source_name", "left")
+    web = F.coalesce(F.col("type") == "web", F.lit(False))
+    return A.union_sources(rows.where(~web).drop("type"), rows.where(web).drop("type")).select("id", "link", "source_name")
+
+
+@query(f"{CLS} SELECT id, theme_ord::BIGINT AS theme_ord, theme, score FROM score")
+def keyword_scores(spark, d):
+    return C.keyword_scores(recent(spark, d), table(spark, d, "theme_keyword")).withColumn("theme_ord", F.col("theme_ord").cast("bigint"))
+
+
+@query(f"{CLS} SELECT id, theme, score FROM best")
+def keyword_classify(spark, d):
+    return C.keyword_classify(recent(spark, d), table(spark, d, "theme_keyword")).where("theme is not null").select("id", "theme", "score")
+
+
+@query(f"{CLS} SELECT id, title FROM recent WHERE id NOT IN (SELECT id FROM best)")
+def keyword_unmatched(spark, d):
+    return C.keyword_classify(recent(spark, d), table(spark, d, "theme_keyword")).where("theme is null").select("id", "title")
+
+
+@query(f"{CLS}, num AS (SELECT id, row_number() OVER (ORDER BY {ORDER}) - 1 AS n FROM recent WHERE id NOT IN (SELECT id FROM best)) SELECT id, (n // 10)::BIGINT AS batch_id, (n % 10)::BIGINT AS pos FROM num")
+def llm_batches(spark, d):
+    rest = C.keyword_classify(recent(spark, d), table(spark, d, "theme_keyword")).where("theme is null")
+    return C.batches(rest).select("id", "batch_id", "pos")
+
+
+_REPLIES = [(0, "1. compute and chips\n\nnonsense", 200, None), (1, None, 500, None), (2, None, None, "timed out"), (3, "", 200, None)]
+
+
+@query(
+    """WITH item AS (SELECT b.b AS batch_id, p.p AS pos FROM range(4) b(b), range(4) p(p)),
+line AS (SELECT * FROM (VALUES (0, 0, 'Compute and Chips', 1), (0, 1, 'first', 1), (0, 2, 'first', 1), (0, 3, 'first', 2), (1, 0, 'first', 2), (1, 1, 'first', 2), (1, 2, 'first', 2), (1, 3, 'first', 2),
+ (2, 0, 'first', 1), (2, 1, 'first', 1), (2, 2, 'first', 1), (2, 3, 'first', 1), (3, 0, 'first', 1), (3, 1, 'first', 2), (3, 2, 'first', 2), (3, 3, 'first', 2)) v(batch_id, pos, theme, class_phase)),
+dim AS (SELECT theme, min(theme_ord) AS o FROM theme_keyword GROUP BY theme)
+SELECT batch_id, pos, CASE WHEN theme = 'first' THEN (SELECT theme FROM dim ORDER BY o LIMIT 1) ELSE theme END AS theme, class_phase::BIGINT AS class_phase FROM item JOIN line USING (batch_id, pos)"""
+)
+def batch_reply_parse(spark, d):
+    themes = [t for _, t, _ in C.dictionary(table(spark, d, "theme_keyword"))]
+    items = spark.range(16).select((F.col("id") / 4).cast("bigint").alias("batch_id"), (F.col("id") % 4).alias("pos"))
+    replies = spark.createDataFrame(_REPLIES, "batch_id bigint, reply string, status int, error string")
+    return C.parse_replies(items, replies, themes).select("batch_id", "pos", "theme", F.col("class_phase").cast("bigint").alias("class_phase"))
+
+
+@query(f"{CLS} SELECT d.theme_ord::BIGINT AS theme_ord, d.theme, split_part(d.theme, ' ', 1) AS short, array_to_string(string_split(d.theme, ' ')[1:2], ' ') AS label, count(c.id)::BIGINT AS n FROM dim d LEFT JOIN cls c ON c.theme = d.theme GROUP BY ALL")
+def theme_counts(spark, d):
+    return R.theme_counts(classified(spark, d), table(spark, d, "theme_keyword"))
+
+
+@query(
+    f"WITH {BASE}, {LOOK}, {RECENT}, s AS (SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord) = 1), "
+    "c AS (SELECT coalesce(source_name, 'Unknown') AS n, count(*) AS k, min(coalesce(source_ord, 2147483647)) AS o FROM recent GROUP BY 1) "
+    "SELECT n AS Name, upper(coalesce(type, 'unknown')) AS Type, upper(left(coalesce(category, 'unknown'), 1)) || substr(coalesce(category, 'unknown'), 2) AS Category, k::BIGINT AS Articles, coalesce(url, '') AS Link, o::BIGINT AS first_ord FROM c LEFT JOIN s ON n = name"
+)
+def source_overview(spark, d):
+    return R.source_overview(recent(spark, d), table(spark, d, "sources"))
+
+
+@query("SELECT n_name AS name, coalesce(r_name, '') AS region, count(c_custkey)::BIGINT AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def lookup_counts(spark, d):
+    counts = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    nations = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return nations.join(counts, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("n_name").alias("name"), F.coalesce("r_name", F.lit("")).alias("region"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+@query(f"{CLS} SELECT coalesce(source_name, 'Unknown') AS source_name, theme, count(*)::BIGINT AS n FROM cls GROUP BY ALL")
+def source_theme_breakdown(spark, d):
+    return R.source_themes(classified(spark, d))
+
+
+@query(f"WITH {BASE}, {LOOK}, {RECENT}, r AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY {ORDER}) AS k FROM recent) SELECT source_name, k::BIGINT AS rank, id, substr(title, 1, 80) || '...' AS heading FROM r WHERE k <= 10")
+def source_top10_articles(spark, d):
+    return R.first_articles(recent(spark, d))
+
+
+@query(f"{CLS} SELECT title AS \"Title\", source_name AS \"Source\", coalesce(strftime(published_at, '%Y-%m-%d'), 'Unknown') AS \"Date\", CASE WHEN summary = '' THEN '' ELSE substr(summary, 1, 150) || '...' END AS \"Summary\", link AS \"URL\" FROM cls WHERE theme = '{THEME}'")
+def deep_dive_table(spark, d):
+    return R.deep_dive(classified(spark, d), THEME)
+
+
+@query(f"{CLS} SELECT title AS \"Title\", theme AS \"Theme\", coalesce(strftime(published_at, '%Y-%m-%d'), 'Unknown') AS \"Date\", CASE WHEN summary = '' THEN '' ELSE substr(summary, 1, 100) || '...' END AS \"Summary\", link AS \"URL\" FROM cls WHERE source_name = '{SOURCE}'")
+def source_articles_table(spark, d):
+    return R.source_articles(classified(spark, d), SOURCE)
+
+
+@query(f"SELECT count(*)::BIGINT AS n FROM article WHERE source_name IN {SOURCES}")
+def source_in_list_count(spark, d):
+    return table(spark, d, "article").where(F.col("source_name").isin(*SOURCES)).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT source_name FROM article")
+def distinct_sources(spark, d):
+    return table(spark, d, "article").select("source_name").distinct()
+
+
+@query(f"WITH {BASE}, {LOOK}, {RECENT} SELECT count(*)::BIGINT AS n FROM recent")
+def total_articles(spark, d):
+    return recent(spark, d).agg(F.count("*").alias("n"))
+
+
+@query(f"{CLS}, r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY {CORDER}) AS k FROM cls) SELECT theme, k::BIGINT AS rank, id FROM r WHERE k <= 15")
+def theme_top15(spark, d):
+    return R.theme_first(classified(spark, d))
+
+
+@query(
+    f"{CLS}, r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY {CORDER}) AS k FROM cls) SELECT theme, string_agg(k || '. ' || title || chr(10) || '   Source: ' || coalesce(source_name, 'Unknown') || chr(10) || "
+    "CASE WHEN substr(summary, 1, 300) = '' THEN '' ELSE '   Summary: ' || substr(summary, 1, 300) || chr(10) END || CASE WHEN link = '' THEN '' ELSE '   URL: ' || link || chr(10) END, chr(10) ORDER BY k) AS prompt FROM r WHERE k <= 15 GROUP BY theme"
+)
+def theme_prompt(spark, d):
+    return S.prompts(classified(spark, d))
+
+
+@query(
+    f"{CLS}, n AS (SELECT d.theme, count(c.id) AS n FROM dim d LEFT JOIN cls c ON c.theme = d.theme GROUP BY ALL) SELECT theme, n::BIGINT AS n, CASE WHEN n = 0 THEN 'none' WHEN n < 3 THEN 'few' ELSE 'request' END AS status, "
+    "CASE WHEN n = 0 THEN 'No articles found for this theme in the past two weeks.' WHEN n < 3 THEN 'Limited coverage this week with only ' || n || ' articles found.' END AS what_is_happening FROM n"
+)
+def summary_status(spark, d):
+    return S.summary_status(R.theme_counts(classified(spark, d), table(spark, d, "theme_keyword")))
+
+
+_SECTIONS = [
+    ("a", "preamble\n1. WHAT IS HAPPENING: a b\nmore\n\n**WHY IT MATTERS**\nx\n3. What to watch:\n- p\n- q\nsee further reading list: z\n- T | S | U | R"),
+    ("b", "WHY IT MATTERS: m\nWHAT IS HAPPENING: h"),
+    ("c", ""),
+    ("d", None),
+]
+
+
+@query(
+    """SELECT * FROM (VALUES ('a', 'a b more', 'x', ' - p - q', 'z - T | S | U | R'), ('b', 'h', 'Unable to generate analysis.', 'No specific items to watch.', ''),
+('c', 'Unable to generate summary.', 'Unable to generate analysis.', 'No specific items to watch.', ''), ('d', 'Unable to generate summary.', 'Unable to generate analysis.', 'No specific items to watch.', ''))
+v(theme, what_is_happening, why_it_matters, what_to_watch, further_reading)"""
+)
+def section_parse(spark, d):
+    return S.parse_sections(spark.createDataFrame(_SECTIONS, "theme string, reply string"))
+
+
+@query("SELECT * FROM (VALUES ('a', 0::BIGINT, 'T', 'S', 'U', 'R'), ('a', 2::BIGINT, 'T2', 'S2', 'U2', '')) v(theme, pos, title, source, url, reason)")
+def further_reading_parse(spark, d):
+    return S.parse_further_reading(spark.createDataFrame([("a", "- T | S | U | R\nno bars\n* T2|S2|U2"), ("b", None)], "theme string, text string"))
+
+
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), 'http\S+|www\S+', '', 'g'), '[^a-zA-Z\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+TOKENS = f"tok AS (SELECT theme, class_phase, source_ord, entry_ord, id, unnest(string_split({CLEAN.format("title || ' ' || summary")}, ' ')) AS word, generate_subscripts(string_split({CLEAN.format("title || ' ' || summary")}, ' '), 1) AS pos FROM cls)"
+STOP = "stop AS (SELECT DISTINCT lower(word) AS word FROM stop_word)"
+COUNTS = (
+    "cnt AS (SELECT theme, word, count(*)::BIGINT AS n, min(struct_pack(a := class_phase, b := coalesce(source_ord, 1099511627776), c := coalesce(entry_ord, 1099511627776), d := id, e := pos)) AS first "
+    "FROM tok WHERE length(word) > 2 AND word NOT IN (SELECT word FROM stop) GROUP BY ALL), top AS (SELECT theme, row_number() OVER (PARTITION BY theme ORDER BY n DESC, first, word)::BIGINT AS rank, word, n FROM cnt QUALIFY rank <= 20)"
+)
+
+
+@query(f"SELECT doc_id, {CLEAN.format('text')} AS cleaned FROM documents")
+def clean_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+
+
+@query(f"{CLS}, {TOKENS}, {STOP}, {COUNTS} SELECT theme, word, n FROM cnt")
+def token_counts(spark, d):
+    return W.word_counts(classified(spark, d), table(spark, d, "stop_word")).select("theme", "word", "n")
+
+
+@query(f"{CLS}, {TOKENS}, {STOP}, {COUNTS} SELECT theme, rank, word, n FROM top")
+def top_words_by_theme(spark, d):
+    return W.top_words(classified(spark, d), table(spark, d, "stop_word"))
+
+
+@query(f"{CLS}, {TOKENS}, {STOP}, {COUNTS} SELECT theme, rank, word, n, n / max(n) OVER (PARTITION BY theme) AS share FROM top")
+def keyword_table(spark, d):
+    return W.keyword_table(W.top_words(classified(spark, d), table(spark, d, "stop_word")))
+
+
+@query(
+    f"{CLS}, {TOKENS}, {STOP}, two AS (SELECT theme, word AS first, lead(word) OVER (PARTITION BY theme, id ORDER BY pos) AS second FROM tok WHERE word <> '') "
+    "SELECT theme, first, second, count(*)::BIGINT AS n FROM two WHERE second IS NOT NULL AND first NOT IN (SELECT word FROM stop) AND second NOT IN (SELECT word FROM stop) GROUP BY ALL"
+)
+def cloud_bigrams(spark, d):
+    return W.bigrams(classified(spark, d), table(spark, d, "stop_word"))
+
+
+@query()
+def cloud_frequencies(spark, d):
+    return W.cloud_frequencies(classified(spark, d), table(spark, d, "stop_word"))
+
+
+@query("SELECT DISTINCT lower(word) AS word FROM stop_word UNION SELECT 'ai'")
+def stop_words(spark, d):
+    return table(spark, d, "stop_word").select(F.lower("word").alias("word")).union(spark.createDataFrame([("ai",)], "word string")).distinct()
+
+
+@query(f"SELECT strftime(TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY, '%B %d, %Y') || ' - ' || strftime(TIMESTAMP '{AS_OF}', '%B %d, %Y') AS label")
+def date_range_label(spark, d):
+    return spark.range(1).select(R.date_range(F.lit(AS_OF).cast("timestamp_ntz")).alias("label"))
+
+
+@query(
+    f"{CLS} SELECT d.theme_ord::BIGINT AS theme_ord, d.theme, count(c.id)::BIGINT AS n, CASE WHEN d.theme = '{THEME}' THEN 'h' ELSE 'No analysis available.' END AS what_is_happening, "
+    f"CASE WHEN d.theme = '{THEME}' THEN 'w' ELSE 'No items to watch.' END AS what_to_watch, d.theme = '{THEME}' AS has_summary FROM dim d LEFT JOIN cls c ON c.theme = d.theme GROUP BY ALL"
+)
+def overview_cards(spark, d):
+    given = spark.createDataFrame([(THEME, "h", "m", "w", "")], "theme string, what_is_happening string, why_it_matters string, what_to_watch string, further_reading string")
+    return R.overview_cards(classified(spark, d), table(spark, d, "theme_keyword"), given)
+
+
+@query()
+def feed_articles(spark, d):
+    return A.from_feed(table(spark, d, "feed_entry"), table(spark, d, "sources"))
+
+
+@query()
+def html_text(spark, d):
+    return table(spark, d, "feed_entry").select("source_name", "entry_ord", html_to_text(F.coalesce("summary", "description")).alias("text"))
+
+
+_PAGE = '<div class="PostCard"><h2>Ten chars ok</h2><a href="/d">x</a></div><article><h2>Without a class</h2></article>'
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 'Ten chars ok', 'http://a.com/d'), ('b', 0, 'A link with a title', 'http://b.com/y')) v(source_name, entry_ord, title, link)")
+def web_scrape(spark, d):
+    pages = spark.createDataFrame([("a", "http://a.com/b/c", _PAGE), ("b", "http://b.com/x", '<a href="y">A link with a title</a><a href="z">short</a>'), ("c", None, None)], "source_name string, url string, html string")
+    return scrape(pages).drop("id")
+
+
+_RSS = "<rss><channel><item><title>One</title><description>&lt;p&gt;Text&lt;/p&gt;</description><link>http://a.com/1</link><pubDate>Mon, 06 Jan 2025 10:00:00 GMT</pubDate></item><item><title/><link>u</link></item></channel></rss>"
+
+
+@query("SELECT * FROM (VALUES ('a', 'One', 'Text', 'http://a.com/1', TIMESTAMP '2025-01-06 10:00:00')) v(source_name, title, summary, link, published_at)")
+def rss_parse(spark, d):
+    rows = [r[:9] for r in parse_feed("a", _RSS)]
+    entries = spark.createDataFrame(rows, "source_name string, entry_ord int, title string, summary string, description string, link string, dc_date string, published string, updated string")
+    entries = entries.withColumn("published_parsed", F.lit(None).cast("timestamp_ntz")).withColumn("updated_parsed", F.lit(None).cast("timestamp_ntz"))
+    sources = spark.createDataFrame([("a", 0)], "name string, ord int")
+    return A.from_feed(entries, sources).select("source_name", "title", "summary", "link", "published_at")
+
+
+@query()
+def p6_found(spark, d):
+    return found_instants(table(spark, d, "article"), table(spark, d, "sources"))
