@@ -242,7 +242,8 @@ def language_of(words: set[str]) -> str:
 
 
 def topical(docs: list[set[str]], labels: np.ndarray, others: list[set[str]]) -> set[str]:
-    """Terms that may tell a subject: no word of theirs is common in its language, they recur, and where examples have them they are pure."""
+    """Terms that may tell a subject: none of their words is common in its language, unless the examples tie it to one subject, they
+    recur, and where examples have them they are pure."""
     by_language: dict[str, Counter] = {}
     size: Counter = Counter()
     total: Counter = Counter()
@@ -251,15 +252,16 @@ def topical(docs: list[set[str]], labels: np.ndarray, others: list[set[str]]) ->
         size[lang] += 1
         by_language.setdefault(lang, Counter()).update(g for g in d if " " not in g)
         total.update(d)
-    common = {w for lang, c in by_language.items() for w, k in c.items() if k > max(2, TOO_COMMON * size[lang])}
-    ok = {g for g, k in total.items() if k >= (LEAST_RECORDS if others else 1) and (g[0] == " " or common.isdisjoint(g.split(" ")))}
     seen: Counter = Counter()
     own: dict[str, np.ndarray] = {}
     for d, y in zip(docs, labels):
         for g in d:
-            if g in ok and g[0] != " ":
+            if g[0] != " ":
                 seen[g] += 1
                 own[g] = own.get(g, 0) + y
+    told = {w for w, k in seen.items() if k >= 4 and own[w].max() >= 0.8 * k}
+    common = {w for lang, c in by_language.items() for w, k in c.items() if k > max(2, TOO_COMMON * size[lang])} - told
+    ok = {g for g, k in total.items() if k >= (LEAST_RECORDS if others else 1) and (g[0] == " " or common.isdisjoint(g.split(" ")))}
     return {g for g in ok if g[0] == " " or seen[g] < 2 or own[g].max() >= PURITY * seen[g]}
 
 

@@ -87,6 +87,8 @@ def _encode(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     codes: dict[str, int] = {}
     flat = [codes.setdefault(t, len(codes)) for words in texts for t in (*words, "\n")]
     known = [_word(t) if t != "\n" else (1, False, True, False, "") for t in codes]
+    if not flat:
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64), [], np.zeros(0, np.int64)
     idx = np.array(flat, np.int64)
     mask = np.array([k[0] for k in known], np.uint64)[idx]
     final = np.array([k[1] for k in known], bool)[idx]
@@ -119,6 +121,8 @@ def sequence_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np
     split = [t.split() for t in texts if t]
     mask, ends, sentence, known, times = _encode(split)
     keys, is_end = [], []
+    if not len(mask):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         last = np.r_[mask[1:] == 1, True] & ~ends
         usable = (mask != 1) & ~last
