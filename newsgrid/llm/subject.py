@@ -157,27 +157,28 @@ def _fit_link(rows, cols, n, extra, y, weight, size, outer, ridge=RIDGE, steps=S
 def _calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift that make scores of held-out examples probabilities."""
     a, c = 1.0, 0.0
-    for _ in range(60):
+    for _ in range(400):
         p = _sigmoid(a * score + c)
         r = p - y
         a -= 0.5 * ((r * score).mean() + 0.02 * (a - 1))
         c -= 0.5 * (r.mean() + 0.02 * c)
-    return float(np.clip(a, 0.5, 2.0)), float(np.clip(c, -1.5, 1.5))
+    return float(np.clip(a, 0.5, 2.0)), float(np.clip(c, -3, 3))
 
 
-def fit_chain(docs: list[set[str]], labels: np.ndarray, weight: np.ndarray, subjects: list[str], least: int = 1) -> Chain:
-    """A chain on documents given as sets of features; an every-fifth split calibrates, then all documents are fitted."""
+def fit_chain(docs: list[set[str]], labels: np.ndarray, weight: np.ndarray, subjects: list[str], least: int = 1, labelled: int | None = None) -> Chain:
+    """A chain on documents given as sets of features; every fifth of the first `labelled` ones is held out and calibrates the links,
+    then all documents are fitted."""
     counts = Counter(g for d in docs for g in d)
     vocabulary = {g: k for k, g in enumerate(sorted(g for g, c in counts.items() if c >= least))}
     rows, cols = _sparse(docs, vocabulary)
     outer = np.array([g[0] == " " for g in vocabulary], bool)
     n, m, size = len(docs), len(subjects), len(vocabulary)
     out = Chain(subjects, vocabulary, np.zeros((size, m), np.float32), np.zeros(m), np.zeros((m, m)), np.ones(m), np.zeros(m))
-    held = np.arange(n) % 5 == 4
+    held = (np.arange(n) % 5 == 4) & (np.arange(n) < (n if labelled is None else labelled))
     inside = ~held[rows]
     for k in range(m):
         y, before = labels[:, k].astype(float), labels[:, :k].astype(float)
-        if n >= 50:
+        if held.sum() >= 10:
             w, v, b = _fit_link(rows[inside], cols[inside], n, before, y, weight * ~held, size, outer)
             score = np.bincount(rows, w[cols], n) + before @ v + b
             out.slope[k], out.shift[k] = _calibrate(score[held], y[held])
@@ -286,7 +287,7 @@ def fit(examples: list[tuple[str | None, str | None, list[str]]], unlabelled: li
     for _ in range(ROUNDS if more else 0):
         guessed, sure = decode(chain, more)
         take = sure >= 0.5
-        chain = fit_chain(docs + [d for d, ok in zip(more, take) if ok], np.concatenate([labels, guessed[take]]), np.r_[np.full(len(docs), 1.5), sure[take]], subjects)
+        chain = fit_chain(docs + [d for d, ok in zip(more, take) if ok], np.concatenate([labels, guessed[take]]), np.r_[np.full(len(docs), 1.5), sure[take]], subjects, labelled=len(docs))
     return chain
 
 
