@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsgrid.functions.regex import count_word, strip
+from newsgrid.functions.regex import strip, word_pattern
 from newsgrid.operators.articles import ORDER, positions
 
 #: Rows of a keyword dictionary that become expressions.
@@ -30,10 +28,22 @@ def _text() -> Column:
 
 
 def score_columns(articles: DataFrame, themes: list[tuple[int, str, list[str]]]) -> DataFrame:
-    """The articles with `_scores`: one sum of whole-word matches per theme, in theme order, computed in one pass."""
+    """The articles with `_scores`: one sum of whole-word matches per theme, in theme order, computed in one pass.
+
+    The keywords are one constant array that a lambda walks, so that the generated code stays small with any dictionary; a pattern
+    runs only where a plain search finds its keyword.
+    """
+    if not any(words for _, _, words in themes):
+        return articles.withColumn("_scores", F.array(*[F.lit(0).cast("bigint") for _ in themes]).cast("array<bigint>"))
+    entries = [F.array(*[F.struct(F.lit(w.lower()).alias("low"), F.lit(word_pattern(w)).alias("pattern")) for w in words if w]) if any(words) else F.lit(None) for _, _, words in themes]
+    kind = "array<struct<low:string,pattern:string>>"
     with_text = articles.withColumn("_text", _text())
-    sums = [reduce(lambda a, b: a + b, [count_word(F.col("_text"), k) for k in words], F.lit(0)).cast("bigint") for _, _, words in themes]
-    return with_text.withColumn("_scores", F.array(*sums) if sums else F.array().cast("array<bigint>")).drop("_text")
+
+    def score(words: Column) -> Column:
+        hits = F.transform(words, lambda w: F.when(F.contains(F.col("_text"), w.low), F.regexp_count(F.col("_text"), w.pattern)).otherwise(F.lit(0)))
+        return F.coalesce(F.aggregate(hits, F.lit(0).cast("bigint"), lambda total, n: total + n.cast("bigint")), F.lit(0).cast("bigint"))
+
+    return with_text.withColumn("_scores", F.transform(F.array(*[e.cast(kind) for e in entries]), score)).drop("_text")
 
 
 def keyword_scores(articles: DataFrame, keywords: DataFrame) -> DataFrame:
