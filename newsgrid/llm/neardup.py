@@ -296,21 +296,26 @@ def expand_pairs(linked: DataFrame, members: DataFrame, limit: int = EXPAND) ->
     return inside.unionByName(star).unionByName(across).distinct()
 
 
-def groups(linked: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
+def groups(linked: DataFrame, members: DataFrame) -> DataFrame:
     """(`id`, `group_id`, `n_links`): one row per record with enough words, its group and the links of its class to other classes.
 
-    The groups are the connected components of the links; `group_id` is the least id of a group. Each round lets every class take the
-    least label among its neighbours and that label's own, and is written, so that lost executors cost one round.
+    The groups are the connected components of the links; `group_id` is the least id of a group. In each round every class, and the
+    class that is its label, take the least label of a label among its neighbours, so that whole trees move over a link at once and
+    rounds grow with the logarithm of a path. Rounds go on until no label changes; labels only ever fall, so that this is reached.
+    Each round is written, so that lost executors cost one round.
     """
     links = cut(linked.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).unionByName(linked.select(F.col("rep_b").alias("u"), F.col("rep_a").alias("v"))), "links")
     label = cut(links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = links.join(label.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("other"))
-        step = label.join(near, "u").select("u", "label", F.least("label", "other").alias("new"))
-        jump = label.select(F.col("u").alias("new"), F.col("label").alias("beyond"))
-        step = cut(step.join(jump, "new", "left").select("u", "label", F.least("new", F.coalesce("beyond", "new")).alias("new")), "labels")
+    while True:
+        jump = label.join(label.select(F.col("u").alias("label"), F.col("label").alias("beyond")), "label")
+        near = links.join(jump.select(F.col("u").alias("v"), "beyond"), "v").groupBy("u").agg(F.min("beyond").alias("other"))
+        both = jump.join(near, "u")
+        own = F.struct("u", F.least("beyond", "other").alias("new"), F.col("label").alias("old"))
+        root = F.struct(F.col("label").alias("u"), F.col("other").alias("new"), F.lit(None).cast("string").alias("old"))
+        step = both.select(F.explode(F.array(own, root)).alias("s")).groupBy("s.u").agg(F.min("s.new").alias("new"), F.max("s.old").alias("old"))
+        step = cut(step, "labels")
         label = step.select("u", F.col("new").alias("label"))
-        if not step.where(F.col("new") != F.col("label")).limit(1).count():
+        if not step.where(F.col("new") != F.col("old")).limit(1).count():
             break
     counts = links.groupBy("u").agg(F.count("*").alias("n_links"))
     found = label.join(counts, "u").withColumnRenamed("u", "rep")

@@ -53,6 +53,20 @@ def test_copies_and_groups(spark):
     assert {r.group_id for r in neardup.groups(linked, members).collect()} == {"c000"}
 
 
+def test_groups_of_a_long_path(spark, monkeypatch):
+    rng, rounds = random.Random(4), []
+    own = [f"{k:04d}" for k in range(400)]
+    rng.shuffle(own)
+    path = [(*sorted(p), 0.9) for p in zip(own, own[1:])]
+    written = neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df, name: rounds.append(name) or written(df, name))
+    linked = spark.createDataFrame(path, "rep_a string, rep_b string, similarity double")
+    members = spark.createDataFrame([(i, i) for i in [*own, "alone"]], "rep string, id string")
+    got = {r.id: (r.group_id, r.n_links) for r in neardup.groups(linked, members).collect()}
+    assert got == {i: ("0000", 1 if i in (own[0], own[-1]) else 2) for i in own} | {"alone": ("alone", 0)}
+    assert rounds.count("labels") <= 15
+
+
 def test_encoding_round_trip(spark):
     clean = ["Die Müthren Works prüft täglich Anträge über Häuser in Köln", "L’été dernier, près de forêts brûlées à Orléans", "El señor Núñez pidió más atención aquí", "Город проверяет новые модели и школы", "A report – with “quotes” and Söhne"]
     weights = encoding.fit(clean * 20)
