@@ -25,8 +25,10 @@ SUB_KEYS, WIDTH = 7, 3
 SKETCH, SKETCH_LEAST = 24, 11
 #: Rows with one key that are compared in one place; more are split by the second sub-key, and then into blocks.
 HOT = 20_000
-#: Copies of one text up to which every pair of them is given; beyond it each copy is paired with the first one.
+#: Copies with the same words up to which `expand_pairs` gives every pair where no other limit is named.
 EXPAND = 64
+#: Members of a class that are paired in one place; larger classes are split into blocks.
+BLOCK = 2_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -277,23 +279,36 @@ def near_duplicates(df: DataFrame, key: str = "id", title: str = "title", summar
     return linked, members.unionByName(alone)
 
 
-def expand_pairs(linked: DataFrame, members: DataFrame, limit: int = EXPAND) -> DataFrame:
+def expand_pairs(linked: DataFrame, members: DataFrame, limit: int | None = EXPAND) -> DataFrame:
     """Distinct (`id_a`, `id_b`), id_a < id_b, of records from pairs of classes and members.
 
-    Classes of at most `limit` copies give all their pairs. In a larger one each copy is paired with its representative, which alone
-    stands in the pairs with other classes: the links are whole, and their number stays in proportion to the copies.
+    With `limit` None every pair of records is given, however many a class has: members go in blocks, and each pair of blocks meets in
+    one place. With a number, only classes of at most so many copies give all their pairs; in a larger one each copy is paired with
+    its representative, which alone stands in the pairs with other classes.
     """
     several = cut(members.where(F.col("rep") != F.col("id")).unionByName(members.where(F.col("rep") != F.col("id")).select("rep", F.col("rep").alias("id")).distinct()), "members")
     sizes = several.groupBy("rep").agg(F.count("*").alias("n"))
-    few = several.join(sizes.where(F.col("n") <= limit), "rep", "left_semi")
-    many = several.join(sizes.where(F.col("n") > limit), "rep", "left_semi")
-    inside = few.alias("p").join(few.alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
-    star = many.where("id != rep").select(F.least("id", "rep").alias("id_a"), F.greatest("id", "rep").alias("id_b"))
-    left = few.select(F.col("rep").alias("rep_a"), F.col("id").alias("ia"))
-    right = few.select(F.col("rep").alias("rep_b"), F.col("id").alias("ib"))
-    across = linked.join(left, "rep_a", "left").join(right, "rep_b", "left").select(F.coalesce("ia", "rep_a").alias("p"), F.coalesce("ib", "rep_b").alias("q"))
-    across = across.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
-    return inside.unionByName(star).unionByName(across).distinct()
+    many = None
+    if limit is not None:
+        many = several.join(sizes.where(F.col("n") > limit), "rep", "left_semi")
+        sizes = sizes.where(F.col("n") <= limit)
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    few = cut(several.join(sizes, "rep").select("rep", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "members")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    p = few.select("rep", F.col("block").alias("at"), each.alias("to"), F.col("id").alias("p"))
+    q = few.select("rep", each.alias("at"), F.col("block").alias("to"), F.col("id").alias("q"))
+    pairs = p.join(q, ["rep", "at", "to"]).select("p", "q").where("p < q")
+    if many is not None:
+        pairs = pairs.unionByName(many.where("id != rep").select(F.col("id").alias("p"), F.col("rep").alias("q")))
+    large = small(sizes.where(F.col("blocks") > 1).select("rep", "blocks"))
+    across = linked.select("rep_a", "rep_b")
+    for side in ("a", "b"):
+        across = across.join(large.select(F.col("rep").alias(f"rep_{side}"), "blocks"), f"rep_{side}", "left")
+        across = across.withColumn(f"at_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    for side in ("a", "b"):
+        across = across.join(few.select(F.col("rep").alias(f"rep_{side}"), F.col("block").alias(f"at_{side}"), F.col("id").alias(f"id_{side}")), [f"rep_{side}", f"at_{side}"], "left")
+    pairs = pairs.unionByName(across.select(F.coalesce("id_a", "rep_a").alias("p"), F.coalesce("id_b", "rep_b").alias("q")))
+    return pairs.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).where("id_a < id_b").distinct()
 
 
 def groups(linked: DataFrame, members: DataFrame) -> DataFrame:
@@ -324,4 +339,4 @@ def groups(linked: DataFrame, members: DataFrame) -> DataFrame:
 
 def found(articles: DataFrame) -> DataFrame:
     """(`id_a`, `id_b`), id_a < id_b: pairs of articles with at least 20 distinct words each of which 0.7 are in both."""
-    return expand_pairs(*near_duplicates(articles))
+    return expand_pairs(*near_duplicates(articles), limit=None)

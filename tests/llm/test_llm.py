@@ -53,6 +53,16 @@ def test_copies_and_groups(spark):
     assert {r.group_id for r in neardup.groups(linked, members).collect()} == {"c000"}
 
 
+def test_large_classes_give_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    same = text(rng, 30)
+    turned = " ".join(reversed(same.split()))
+    rows = [(f"c{k:03d}", "t", same if k % 3 else turned, "s") for k in range(neardup.EXPAND + 16)] + [(f"d{k:03d}", "t", same + " more", "s") for k in range(20)] + [("e", "t", same + " other", "s")]
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    got = [tuple(r) for r in neardup.found(articles(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(combinations(sorted(r[0] for r in rows), 2))
+
+
 def test_groups_of_a_long_path(spark, monkeypatch):
     rng, rounds = random.Random(4), []
     own = [f"{k:04d}" for k in range(400)]
