@@ -53,6 +53,16 @@ def test_copies_and_groups(spark):
     assert {r.group_id for r in neardup.groups(linked, members).collect()} == {"c000"}
 
 
+def test_tables_find_pairs_at_the_threshold():
+    rng, hashes = random.Random(6), []
+    for _ in range(3000):
+        shared, p, q = ([rng.getrandbits(64) for _ in range(n)] for n in (70, 15, 15))
+        hashes += [shared + p, shared + q]
+    first, second, _, _ = neardup.signatures(hashes)
+    met = (first[::2] == first[1::2]).any(1) & (second[::2] == second[1::2]).any(1)
+    assert met.mean() >= 0.96
+
+
 def test_large_classes_give_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     same = text(rng, 30)
