@@ -130,8 +130,6 @@ def kind_of(machine: ahocorasick.Automaton, text: str | None, coverage: float =
     flat = _squeeze(text)
     low = flat.lower()
     hit = next(machine.iter(low), None) is not None
-    if not hit and not low.isascii():
-        return None
     for part in _SENTENCE.split(low):
         if hit and part and sentence_coverage(machine, part) >= coverage:
             return "page"

@@ -116,6 +116,13 @@ def test_residue(value, kind):
     assert residue.kind_of(residue.automaton(), value) == kind
 
 
+@pytest.mark.parametrize("report", ["Die Stadt prüft neue Züge.", "Le conseil a décidé hier à Orléans.", "The firm’s plan is ready.", ""])
+def test_filler_beside_other_letters(report):
+    filler = "Dolet fugor labur prabore duior eliscing consnam lorbore fugor."
+    assert residue.kind_of(residue.automaton(), f"{report} {filler}") == "filler"
+    assert residue.kind_of(residue.automaton(), report) is None
+
+
 def test_residue_rows(spark):
     rows = [("1", "404 Not Found", None, "s"), ("1", "404 Not Found", None, "s"), ("2", "A fine report", "", None), (None, "404 Not Found", "", "s")]
     assert [r.id for r in residue.found(articles(spark, rows)).collect()] == ["1"]
