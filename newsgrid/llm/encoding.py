@@ -1,22 +1,34 @@
 """Text decoded with the wrong encoding: the chain of encodings is predicted, inverted and verified.
 
-A multinomial classifier over hashed byte bigrams is fitted on clean records of the corpus that are garbled with every known
-chain. For a field the chains are tried from the most probable one; the first whose inverse decodes strictly is taken.
+A multinomial classifier over hashed byte bigrams is fitted on words of the corpus that are garbled with every known chain. It scores
+every word of a field that holds a byte above 7F or a question mark. The chains of a word are tried from the most probable one down to
+"clean"; the first whose inverse decodes strictly is taken. Loss of characters is a label of the classifier like any other.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Clean records to fit on, at most.
-FIT_ROWS = 3000
+from newsgrid.session import hash_sample
+
+#: Records to fit on, about; damaged ones among them are told by a first fit and left out of the second.
+FIT_ROWS = 4000
 BUCKETS = 1 << 15
+#: What a bigram that was never seen counts for, and bigrams that each label is scaled to.
+SMOOTH, SCALE = 0.05, 20_000.0
+#: Log odds against "clean" from which on a word counts as damaged: damaged words are some hundred times rarer than clean ones. Chains
+#: of single bytes, whose inverse always decodes, need more: their inverse must be likelier clean than the word by as much again.
+MARGIN = 5.0
+#: Share of texts that are taken to be written in capitals; such words are rare in the records to fit on.
+CAPITALS = 0.05
+#: Words whose labels a worker remembers.
+REMEMBER = 200_000
 
 #: Chains: the text is encoded with the first encoding, read with the second, and so on in pairs.
 CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
@@ -42,17 +54,13 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
 #: Chains that destroy characters: they can be recognised, not inverted.
 LOSSY = ("question", "replacement")
 LABELS = [*CHAINS, *LOSSY]
-#: Single-byte readings of Cyrillic: every byte string decodes, so that the result is checked for being Cyrillic prose.
-CYRILLIC = {"koi8r>cp1251", "cp1251>koi8r", "cp1251>cp1252", "koi8r>cp1252", "cp866>cp1251"}
+#: Single-byte readings of single-byte texts: every byte string decodes, so that the classifier is asked about the result too.
+SINGLE = {"koi8r>cp1251", "cp1251>koi8r", "cp1251>cp1252", "koi8r>cp1252", "cp866>cp1251", "cp1252>mac"}
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
-_JOINED = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]")
-_LOST = re.compile(r"[^\W\d_]\?[^\W\d_]|(?:^|[\s(\"“«‘'\-])\?[^\W\d_]")
-_LOST_END = re.compile(r"[^\W\d_]\?[ ,;:]+[a-zà-ÿа-я0-9(]")
-#: Marks and capitals inside a lower-case word: what Western letters become when read with the other single-byte table.
-_INSIDE = re.compile("[a-z][ÀÂÈËÒÛÌÁÍÙÎÔÓÊÚÏ„‚‰‡ˆ¸·ıﬂŸ][a-z]|[a-z][ÈËÌÎÍÁÒÛ](?![\\w.])")
-_C1 = re.compile("[\x80-\x9f]")
-_PLAIN = re.compile("[ -ɏЀ-џҐґ‐-‧ ‰-›₠-₿№™←-⇿∀-⋿☀-➿️\U0001f000-\U0001faffẞ■-◿]+$")
+#: Letters of two scripts side by side, as no restored word has them.
+_MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-џ]|[Ѐ-џ][A-Za-zÀ-ɏ]")
+_PLAIN = re.compile("[ -ɏЀ-џҐґ‐-‧ ‰-›₠-₿№™←-⇿∀-⋿☀-➿️\U0001f000-\U0001faffẞ■-◿]+$")
 
 
 def _to_bytes(text: str, encoding: str) -> bytes:
@@ -86,49 +94,114 @@ def garble(text: str, label: str) -> str | None:
     if label == "replacement":
         return re.sub(r"[^\x00-\x7f]", "�", text)
     for written, read in CHAINS[label]:
-        data = text.encode(written, "ignore") if label in CYRILLIC or label == "cp1252>mac" else text.encode(written)
+        data = text.encode(written, "ignore") if label in SINGLE else text.encode(written)
         text = _to_text(data, read)
     return text
 
 
-def _features(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte bigrams that hold a byte above 7F or a question mark, with the number of each text."""
+def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte bigrams that hold a byte above 7F or begin with a question mark, with the number of each text."""
     parts = [t.encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
+    data = np.frombuffer(b"".join(parts) + b" ", np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     first, second = data[:-1], data[1:]
-    keep = np.flatnonzero((first > 127) | (second > 127) | (first == 63))
+    keep = np.flatnonzero((first > 127) | (second > 127) | (first == 63) | (second == 63) | (second > 3) & (second < 7))
     key = first[keep].astype(np.uint32) << np.uint32(8) | second[keep]
     return (key * np.uint32(2654435761) >> np.uint32(17)) & np.uint32(BUCKETS - 1), owner[keep]
 
 
-def fit(texts: list[str]) -> np.ndarray:
-    """Weights (buckets x labels) of the classifier from clean texts; uniform where there are none."""
-    counts = np.full((BUCKETS, len(LABELS)), 0.05, np.float64)
+def words_of(text: str) -> list[str]:
+    """The words of a field that the classifier looks at, each with a blank before it and a mark behind that tells whether the text goes
+    on in lower case (1), goes on otherwise (2) or ends (3). The mark takes in a question mark at the end of the word (4, 5, 6)."""
+    parts = text.split(" ")
+    out = []
+    for k, w in enumerate(parts):
+        if w and (not w.isascii() or "?" in w):
+            after = next((p for p in parts[k + 1 : k + 3] if p), "")
+            out.append(_marked(w, chr(3) if not after else chr(1) if after[0].islower() else chr(2)))
+    return out
+
+
+def _marked(word: str, mark: str) -> str:
+    return f" {word[:-1]}{chr(ord(mark) + 3)}" if word[-1:] == "?" else f" {word}{mark}"
+
+
+def _bare(marked: str) -> tuple[str, str]:
+    """The word itself, and its mark without a question mark."""
+    mark = marked[-1]
+    return (f"{marked[1:-1]}?", chr(ord(mark) - 3)) if mark > chr(3) else (marked[1:-1], mark)
+
+
+class Model:
+    """Log probabilities (buckets x labels) of the classifier. Labels of words are remembered while a worker runs."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights = weights
+        self.known: dict[str, tuple[str, str | None]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "known": {}}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of each label for each word."""
+        out = np.zeros((len(words), len(LABELS)), np.float32)
+        key, owner = _features(words)
+        if len(key):
+            at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[owner[at]] = np.add.reduceat(self.weights[key], at, axis=0)
+        return out
+
+    def label(self, words: list[str]) -> dict[str, tuple[str, str | None]]:
+        """(label, restored word) of each word; `clean` with None, a chain with what it restores, or a lossy label with None."""
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
+        for w, logs in zip(fresh, self.scores(fresh)):
+            self.known[w] = self._judge(w, logs)
+        return self.known
+
+    def _judge(self, word: str, logs: np.ndarray) -> tuple[str, str | None]:
+        (bare, mark), clean = _bare(word), logs[0]
+        for k in np.argsort(-logs, kind="stable"):
+            label = LABELS[k]
+            if logs[k] < clean + MARGIN:
+                break
+            if label == "replacement":
+                if "\ufffd" in bare:
+                    return label, None
+            elif label == "question":
+                if "?" in bare:
+                    return label, None
+            elif (back := invert(bare, label, mark == chr(3))) is not None:
+                if label in SINGLE and (self.scores([_marked(back, mark)])[0][0] < clean + MARGIN or _MIXED.search(back) and not _MIXED.search(bare)):
+                    continue
+                return label, back
+        return "clean", None
+
+
+def fit(texts: list[str]) -> Model:
+    """The classifier of clean texts, garbled word by word; uniform where there are none."""
+    times = Counter(w for t in texts for w in words_of(t))
+    for w, n in list(times.items()):
+        times[w.upper()] += CAPITALS * n
+    counts = np.zeros((BUCKETS, len(LABELS)))
     for k, label in enumerate(LABELS):
-        samples = []
-        for t in texts:
+        samples, weight = [], []
+        for w, n in times.items():
+            bare, mark = _bare(w)
             try:
-                g = garble(t, label)
+                g = garble(bare, label)
             except UnicodeError:
-                g = None
-            if g is not None and (label == "clean" or g != t):
-                samples.append(g)
+                continue
+            if g and (label == "clean" or g != bare):
+                samples.append(_marked(g, mark)), weight.append(n)
         if samples:
-            key, _ = _features(samples)
-            counts[:, k] += np.bincount(key, minlength=BUCKETS)
-    return np.log(counts / counts.sum(0)).astype(np.float32)
-
-
-def scores(weights: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Log likelihood of each label for each text."""
-    out = np.zeros((len(texts), len(LABELS)), np.float32)
-    key, owner = _features(texts)
-    if len(key):
-        at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        out[owner[at]] = np.add.reduceat(weights[key], at, axis=0)
-    return out
+            key, owner = _features(samples)
+            counts[:, k] += np.bincount(key, np.array(weight, float)[owner], BUCKETS)
+    total = counts.sum(0)
+    counts = counts * np.where(total > 0, SCALE / np.maximum(total, 1), 0) + SMOOTH
+    return Model(np.log(counts / counts.sum(0)).astype(np.float32))
 
 
 def _invert_run(run: str, chain: tuple[tuple[str, str], ...], last: bool) -> str | None:
@@ -144,172 +217,84 @@ def _invert_run(run: str, chain: tuple[tuple[str, str], ...], last: bool) -> str
     return run
 
 
-def invert(text: str, label: str) -> tuple[str | None, int]:
-    """The text with every run inverted that decodes strictly to plain characters, and how many did. None if no run did."""
+def invert(text: str, label: str, ends: bool = True) -> str | None:
+    """The text with every run of characters beyond ASCII inverted that decodes strictly to plain characters; None if no run did.
+
+    With `ends` a sequence of bytes that stops in the middle at the end of the text is left off.
+    """
     chain, done = CHAINS[label], 0
 
     def one(m: re.Match) -> str:
         nonlocal done
         run = m[0]
+        if label in SINGLE and any(map(str.isspace, run)):
+            return run
         try:
-            back = _invert_run(run, chain, m.end() == len(text))
+            back = _invert_run(run, chain, ends and m.end() == len(text))
         except UnicodeError:
             return run
-        if back is None or back == run or (label not in CYRILLIC and label != "cp1252>mac" and not _PLAIN.match(back)):
+        if back is None or back == run or not _PLAIN.match(back):
             return run
         done += 1
         return back
 
     out = _HIGH.sub(one, text)
-    return (out, done) if done else (None, 0)
-
-
-def _cyrillic_share(text: str) -> float:
-    """Share of letters that sit as Russian prose has them: lower case after the first letter of a word."""
-    words = re.findall(r"[а-яёА-ЯЁ]+", text)
-    if not words:
-        return 0.0
-    if not any(c.islower() for w in words for c in w):
-        return 1.0
-    good = sum(1 + sum(c.islower() for c in w[1:]) for w in words)
-    return good / max(1, sum(map(len, words)))
-
-
-def judge(text: str, logs: np.ndarray) -> tuple[str, str | None]:
-    """(chain, restored text) of one field: `clean`, a chain with what it restores, or a lossy label with None."""
-    for k in np.argsort(-logs):
-        label = LABELS[k]
-        if label == "clean":
-            break
-        if label in LOSSY:
-            continue
-        back, done = invert(text, label)
-        if back is None:
-            continue
-        if label == "cp1252>mac":
-            if _INSIDE.search(text) and logs[k] > logs[0]:
-                return label, back
-            continue
-        if label in CYRILLIC:
-            if len(_JOINED.findall(text)) * 5 <= len(_HIGH.findall(text)) and len(re.findall(r"[а-яё]", back)) >= 4 and _cyrillic_share(back) > 0.9 > _cyrillic_share(text) + 0.1:
-                return label, back
-            continue
-        return label, back
-    if "�" in text:
-        return "replacement", None
-    if _C1.search(text):
-        for label in ("utf8>latin1", "utf8>cp1252"):
-            back, done = invert(text, label)
-            if back:
-                return label, back
-        return "replacement", None
-    if _LOST.search(text):
-        return "question", None
-    if _LOST_END.search(text) and logs[LABELS.index("question")] > logs[LABELS.index("clean")] + 2:
-        return "question", None
-    # What the classifier holds for clean may still hold one damaged run in long clean text: every run is verified.
-    if _HIGH.search(text):
-        for label in ("utf8>cp1252", "utf8>cp1250", "utf8>mac", "utf8>cp437", "utf8>cp1251", "utf8>cp850"):
-            back, done = invert(text, label)
-            if back is not None and _strong(text, label):
-                return label, back
-    return "clean", None
+    return out if done else None
 
 
-def _strong(text: str, label: str) -> bool:
-    """Whether a run of two characters or more becomes exactly letters or marks that these languages use often."""
-    for m in _HIGH.finditer(text):
-        if len(m[0]) >= 2:
-            try:
-                back = _invert_run(m[0], CHAINS[label], False)
-            except UnicodeError:
-                continue
-            if back and re.fullmatch("[à-öø-ÿÀ-ÖØ-ÞßœŒšžřŠŽŘșȘа-яА-ЯёЁ’“”„«»–—…→]+", back) and len(back) < len(m[0]):
-                return True
-    return False
-
-
-#: Latin letters of the upper half where Cyrillic words should be, or Cyrillic words with the cases swapped.
-_SWAPPED = re.compile("[À-ÿ]{3}|[а-яё][А-ЯЁ]|[°-¿╒-╬]{2}|[Ѐ-ЏђѓєѕіїјљњћќўџА-Я][°±»µ¶·•†‡№]")
-
-
-_COMMON = frozenset("é è ê ë à â á ã ä å ç í ñ ó ö ô õ ú ü ß ř ž ș Ç Ö Ó Í Ž Ș Ä Ü Â À É ’ “ ” „ « » – — … →".split())
-_ODD = frozenset("ÀÂÈËÒÛÌÁÍÙÎÔÓÊÚÏ„‚‰‡ˆ¸·ıﬂŸ")
-
-
-@lru_cache(maxsize=200_000)
-def _run_odd(run: str) -> int:
-    """2 if a run of characters beyond ASCII needs the classifier, 1 if it does inside a lower-case word, else 0."""
-    if "�" in run or _C1.search(run) or _SWAPPED.search(run):
-        return 2
-    if run not in _COMMON:
-        for label, chain in CHAINS.items():
-            if label.startswith("utf8>"):
-                try:
-                    back = _invert_run(run, chain, True)
-                except UnicodeError:
-                    continue
-                if back and back != run and _PLAIN.match(back):
-                    return 2
-    return int(not _ODD.isdisjoint(run))
-
-
-def _suspicious(text: str) -> bool:
-    """Whether a field needs the classifier: some run inverts, a character is lost, or letters sit oddly."""
-    if "?" in text and (_LOST.search(text) or _LOST_END.search(text)):
-        return True
-    odd = 0 if text.isascii() else max(map(_run_odd, set(_HIGH.findall(text))), default=0)
-    return odd == 2 or odd == 1 and bool(_INSIDE.search(text))
-
-
-def judge_all(weights: np.ndarray, texts: list[str | None]) -> list[tuple[str, str | None]]:
-    """`judge` for many fields; null, empty and plain ones are clean without a look at the classifier."""
+def judge_all(model: Model, texts: list[str | None]) -> list[tuple[str, str | None]]:
+    """(chain, restored text) of each field: `clean` with None, the chain of most of its damaged words with the whole field restored, or
+    a lossy label with None where characters are lost. Null, empty and plain fields are clean."""
+    words = [words_of(t) if t and (not t.isascii() or "?" in t) else [] for t in texts]
+    known = model.label([w for each in words for w in each])
     out: list[tuple[str, str | None]] = [("clean", None)] * len(texts)
-    at = [k for k, t in enumerate(texts) if t and (not t.isascii() or "?" in t) and _suspicious(t)]
-    for s in range(0, len(at), 4096):
-        part = at[s : s + 4096]
-        logs = scores(weights, [texts[k] for k in part])
-        for row, k in zip(logs, part):
-            out[k] = judge(texts[k], row)
-    return out
-
-
-def sample_clean(df: DataFrame, fields: tuple[str, ...], rows: int = FIT_ROWS) -> list[str]:
-    """At most `rows` texts with characters beyond ASCII to fit on, chosen by hash, the damaged ones among them left out."""
-    text = F.concat_ws(" ", *[F.col(f) for f in fields])
-    picked = df.select(text.alias("t")).where(F.col("t").rlike("[^\\x00-\\x7f]")).orderBy(F.xxhash64("t"), "t").limit(rows).collect()
-    out = []
-    for r in picked:
-        t = r.t
-        if "�" in t or _C1.search(t) or _LOST.search(t) or any(_strong(t, c) for c in CHAINS if c.startswith("utf8>")):
+    for k, each in enumerate(words):
+        labels = Counter(known[w][0] for w in each if known[w][0] != "clean")
+        if not labels:
             continue
-        words = re.findall(r"[а-яёА-ЯЁ]{3,}", t)
-        if words and _cyrillic_share(t) < 0.9:
+        lost = [x for x in LOSSY if x in labels]
+        if lost:
+            out[k] = (lost[0], None)
             continue
-        out.append(t)
+        damaged = {_bare(w)[0]: known[w][1] for w in each if known[w][1]}
+        chain = max(labels, key=lambda x: (sum(invert(w, x) == back for w, back in damaged.items()), labels[x], x))
+        rest = iter(each)
+        parts = []
+        for w in texts[k].split(" "):
+            label, back = known[next(rest)] if w and (not w.isascii() or "?" in w) else ("clean", None)
+            if label == "clean" and chain in SINGLE and not w.isascii():
+                back = invert(w, chain)  # a word too short to tell goes by the chain of the others
+            parts.append(w if back is None else back)
+        out[k] = (chain, " ".join(parts))
     return out
 
 
-def fit_on(df: DataFrame, fields: tuple[str, ...] = ("title", "summary"), rows: int = FIT_ROWS) -> np.ndarray:
-    """Weights fitted on a bounded sample of the frame's own clean records."""
-    return fit(sample_clean(df, fields, rows))
+def fit_on(df: DataFrame, fields: tuple[str, ...] = ("title", "summary"), rows: int = FIT_ROWS) -> Model:
+    """The classifier fitted on about `rows` of the frame's own records with characters beyond ASCII or question marks, chosen by hash.
+
+    Records that a first fit finds damaged are left out of the second.
+    """
+    text = F.concat_ws(" ", *[F.col(f) for f in fields])
+    texts = sorted({r.t for r in hash_sample(df.select(text.alias("t")).where(F.col("t").rlike("[^\\x00-\\x7f]|[?]")), "t", rows).collect()})
+    first = fit(texts)
+    return fit([t for t, (chain, _) in zip(texts, judge_all(first, texts)) if chain == "clean"])
 
 
-def repair_encoding(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("title", "summary"), weights: np.ndarray | None = None) -> DataFrame:
+def repair_encoding(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("title", "summary"), model: Model | None = None) -> DataFrame:
     """(`key`, `field_name`, `chain`, `restored`): one row per row of `df` and field with damage.
 
     `restored` is null where characters were lost ("question", "replacement"). Null and empty fields give no row, repeated
     rows repeat; columns besides the key and the fields are not read.
     """
     spark = df.sparkSession
-    model = spark.sparkContext.broadcast(fit_on(df, fields) if weights is None else weights)
+    shared = spark.sparkContext.broadcast(fit_on(df, fields) if model is None else model)
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, names, chains, texts = [], [], [], []
             for j, f in enumerate(fields, 1):
-                for k, (chain, back) in enumerate(judge_all(model.value, b.column(j).to_pylist())):
+                for k, (chain, back) in enumerate(judge_all(shared.value, b.column(j).to_pylist())):
                     if chain != "clean":
                         ids.append(k), names.append(f), chains.append(chain), texts.append(back)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(chains, pa.string()), pa.array(texts, pa.string())], [key, "field_name", "chain", "restored"])

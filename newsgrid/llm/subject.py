@@ -1,7 +1,9 @@
 """Subject areas of documents: classifier chains over term, source and structure features, decoded with a beam.
 
-The chain is fitted on labelled examples, then again with a bounded sample of unlabelled records that it labelled with confidence:
-these bring terms the examples lack, and the sources, which examples don't name.
+All records are cleaned and split into terms once and written; how common each word is in its language is counted over all of them.
+The chain is fitted on labelled examples, then again with a bounded sample of records that it labelled itself with confidence: these
+bring terms the examples lack, and the sources, which examples don't name. Calibration and cut-off come from examples that were held
+out of the fit, in turn. A record gets every subject whose probability, summed over the label combinations of the beam, passes the cut-off.
 """
 
 from __future__ import annotations
@@ -16,22 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from newsgrid.llm import encoding, residue
+from newsgrid.session import cut, hash_sample, small
 
-#: Labelled examples to fit on, at most, and unlabelled records that may join them.
+#: Labelled examples to fit on, at most, and records that join them under labels of the chain's own, about.
 FIT_ROWS, SELF_ROWS = 20_000, 4000
 BEAM = 6
-#: Penalty and steps of the fit.
-RIDGE, STEPS = 0.02, 150
-#: Penalty of sources, structure and earlier subjects, as a multiple of that of terms.
-OUTER = 400.0
+#: Penalty and steps of the first fit, and steps of those that go on from an earlier one.
+RIDGE, STEPS, MORE_STEPS = 0.02, 150, 30
+#: Penalties of earlier subjects, and of sources and structure, as multiples of that of terms; chosen on held-out examples (README).
+LINK, OUTER = 2000.0, 400.0
 #: Weight of a record that has the subject against one that has not.
 POSITIVE = 2.0
 #: A word in a larger share of its language's records belongs to the way things are told, not to what is told.
 TOO_COMMON = 0.09
-#: Records that a term must be in, and the share of labelled examples with it that its subject must have.
+#: Records of the fit that a term must be in, and the share of labelled examples with it that its subject must have.
 LEAST_RECORDS, PURITY = 3, 0.6
-#: Rounds in which unlabelled records are labelled anew.
-ROUNDS = 3
+#: Rounds in which records are labelled anew, and the probability of their labels from which on they take part.
+ROUNDS, SURE = 3, 0.6
+#: Parts of the examples that are held out in turn, and the cut-offs that are tried on them.
+FOLDS = 3
+CUT_OFFS = tuple(round(0.5 * 0.93**k, 4) for k in range(45))
 
 # Words that tell the languages apart.
 _LANGUAGE = {
@@ -90,23 +96,28 @@ def grams_of(terms: list[str]) -> set[str]:
 
 
 def structure_of(title: str, summary: str, source: str | None) -> list[str]:
-    """Source and structure features, with a blank before so that they can't be words."""
+    """Source and structure features, with a blank before so that they can't be words; a null source has none."""
     text = f"{title} {summary}"
     script = "cyrl" if re.search("[а-я]", text) else "latn"
-    return [f" source={source}" if source else " source", f" script={script}", f" title={min(9, len(title) // 15)}", f" size={min(9, len(summary) // 80)}", f" marks={':' in title}{'?' in title}"]
+    own = [f" script={script}", f" title={min(9, len(title) // 15)}", f" size={min(9, len(summary) // 80)}", f" marks={':' in title}{'?' in title}"]
+    return [f" source={source}", *own] if source else own
 
 
 @dataclass
 class Chain:
-    """Weights of a fitted chain: terms x subjects, biases, weights of earlier subjects, and the calibration of each link."""
+    """A fitted chain: term weights (terms x subjects), weights of source and structure features, biases, weights of earlier subjects,
+    the calibration of each link and the cut-off."""
 
     subjects: list[str]
     vocabulary: dict[str, int]
     weights: np.ndarray
+    outer: dict[str, int]
+    outer_weights: np.ndarray
     bias: np.ndarray
     links: np.ndarray
     slope: np.ndarray
     shift: np.ndarray
+    cut_off: float
 
 
 def _sparse(docs: list[set[str]], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,33 +133,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _fit_link(rows, cols, n, extra, y, weight, size, outer, ridge=RIDGE, steps=STEPS):
-    """Weights of one link: accelerated projected gradient descent on the logistic loss.
+def _fit_link(rows, cols, extra, penalty, y, weight, size, start=None):
+    """(term weights, weights of `extra`, bias) of one link: accelerated projected gradient descent on the logistic loss.
 
-    `extra`: earlier subjects of each document. A term speaks for a subject or not at all: no other subject's terms speak against
-    it, as a record is about all that its statements are about. `outer` marks source and structure features, which are free but
-    held closer to zero.
+    A term speaks for a subject or not at all: no other subject's terms speak against it, as a record is about all that its statements
+    are about. `extra` (earlier subjects, then centred source and structure features) may speak for and against.
     """
-    prior = float(np.log((y @ weight + 1) / ((1 - y) @ weight + 1)))
-    x = np.zeros(size + extra.shape[1] + 1)
-    x[-1] = prior
+    n, k = len(y), size + extra.shape[1]
+    steps = STEPS if start is None else MORE_STEPS
+    x = np.zeros(k + 1) if start is None else start.astype(float)
+    if start is None:
+        x[-1] = float(np.log((y @ weight + 1) / ((1 - y) @ weight + 1)))
     look = x.copy()
-    k = size + extra.shape[1]
-    common = np.ones_like(x) * ridge
-    common[:size][outer] = OUTER * ridge
-    common[size:k] = OUTER * ridge
-    signed = np.r_[outer, np.ones(k - size + 1, bool)]
-    common[k] = 0
+    common = np.r_[np.full(size, RIDGE), penalty, 0.0]
     balance = weight * np.where(y > 0, POSITIVE, 1.0)
     # Each coordinate's step is bounded by the features of the documents it stands in, which makes the descent safe at any size.
-    across = (np.bincount(rows, minlength=n) + extra.sum(1) + 1) * balance * 0.25
-    bound = np.concatenate([np.bincount(cols, across[rows], size), extra.T @ across, [across.sum()]]) + common + 1e-6
+    across = (np.bincount(rows, minlength=n) + np.abs(extra).sum(1) + 1) * balance * 0.25
+    bound = np.concatenate([np.bincount(cols, across[rows], size), np.abs(extra).T @ across, [across.sum()]]) + common + 1e-6
     for t in range(1, steps + 1):
         p = _sigmoid(np.bincount(rows, look[cols], n) + extra @ look[size:k] + look[k])
         r = (p - y) * balance
-        g = np.concatenate([np.bincount(cols, r[rows], size), extra.T @ r, [r.sum()]]) + common * look
-        step = look - g / bound
-        step = np.where(signed, step, np.maximum(step, 0))
+        step = look - (np.concatenate([np.bincount(cols, r[rows], size), extra.T @ r, [r.sum()]]) + common * look) / bound
+        step[:size] = np.maximum(step[:size], 0)
         look = step + (t - 1) / (t + 2) * (step - x)
         x = step
     return x[:size], x[size:k], float(x[k])
@@ -165,35 +171,51 @@ def _calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(np.clip(a, 0.5, 2.0)), float(np.clip(c, -3, 3))
 
 
-def fit_chain(docs: list[set[str]], labels: np.ndarray, weight: np.ndarray, subjects: list[str], least: int = 1, labelled: int | None = None) -> Chain:
-    """A chain on documents given as sets of features; every fifth of the first `labelled` ones is held out and calibrates the links,
-    then all documents are fitted."""
+def fit_chain(docs: list[set[str]], labels: np.ndarray, weight: np.ndarray, subjects: list[str], least: int = 1, start: Chain | None = None) -> Chain:
+    """A chain, not yet calibrated, on documents given as sets of features; with `start` it goes on from that chain's weights."""
     counts = Counter(g for d in docs for g in d)
-    vocabulary = {g: k for k, g in enumerate(sorted(g for g, c in counts.items() if c >= least))}
+    vocabulary = {g: k for k, g in enumerate(sorted(g for g, c in counts.items() if c >= least and g[0] != " "))}
+    outer = {g: k for k, g in enumerate(sorted(g for g in counts if g[0] == " "))}
     rows, cols = _sparse(docs, vocabulary)
-    outer = np.array([g[0] == " " for g in vocabulary], bool)
     n, m, size = len(docs), len(subjects), len(vocabulary)
-    out = Chain(subjects, vocabulary, np.zeros((size, m), np.float32), np.zeros(m), np.zeros((m, m)), np.ones(m), np.zeros(m))
-    held = (np.arange(n) % 5 == 4) & (np.arange(n) < (n if labelled is None else labelled))
-    inside = ~held[rows]
+    told = np.zeros((n, len(outer)))
+    told[_sparse(docs, outer)] = 1
+    mean = told.mean(0) if n else np.zeros(len(outer))
+    out = Chain(subjects, vocabulary, np.zeros((size, m), np.float32), outer, np.zeros((len(outer), m)), np.zeros(m), np.zeros((m, m)), np.ones(m), np.zeros(m), 0.5)
     for k in range(m):
-        y, before = labels[:, k].astype(float), labels[:, :k].astype(float)
-        if held.sum() >= 10:
-            w, v, b = _fit_link(rows[inside], cols[inside], n, before, y, weight * ~held, size, outer)
-            score = np.bincount(rows, w[cols], n) + before @ v + b
-            out.slope[k], out.shift[k] = _calibrate(score[held], y[held])
-        w, v, b = _fit_link(rows, cols, n, before, y, weight, size, outer)
-        out.weights[:, k], out.bias[k], out.links[k, :k] = w, b, v
+        extra = np.concatenate([labels[:, :k].astype(float), told - mean], 1)
+        penalty = np.r_[np.full(k, LINK * RIDGE), np.full(len(outer), OUTER * RIDGE)]
+        begin = None
+        if start is not None:
+            terms = np.array([start.weights[start.vocabulary[g], k] if g in start.vocabulary else 0.0 for g in vocabulary])
+            outside = np.array([start.outer_weights[start.outer[g], k] if g in start.outer else 0.0 for g in outer])
+            begin = np.r_[terms, start.links[k, :k], outside, start.bias[k] + mean @ outside]
+        w, v, b = _fit_link(rows, cols, extra, penalty, labels[:, k].astype(float), weight, size, begin)
+        out.weights[:, k], out.links[k, :k], out.outer_weights[:, k], out.bias[k] = w, v[:k], v[k:], b - mean @ v[k:]
+    return out
+
+
+def base_scores(chain: Chain, docs: list[set[str]]) -> np.ndarray:
+    """Scores (documents x subjects) of terms, source and structure, without earlier subjects."""
+    n, m = len(docs), len(chain.subjects)
+    out = np.tile(chain.bias, (n, 1))
+    for vocabulary, weights in ((chain.vocabulary, chain.weights), (chain.outer, chain.outer_weights)):
+        rows, cols = _sparse(docs, vocabulary)
+        if len(rows):
+            out += np.stack([np.bincount(rows, weights[cols, k], n) for k in range(m)], 1)
     return out
 
 
 def decode(chain: Chain, docs: list[set[str]], beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, probability) of the best non-empty combination of subjects of each document, by beam search along the chain."""
+    """(labels, probabilities) of documents x subjects.
+
+    A beam search along the chain keeps the most probable combinations of subjects, at least one of them not empty; the probability of
+    a subject is that of the non-empty combinations with it. Subjects that pass the cut-off are labels, and the most probable one is.
+    """
     n, m = len(docs), len(chain.subjects)
     if not n:
-        return np.zeros((0, m), bool), np.zeros(0)
-    rows, cols = _sparse(docs, chain.vocabulary)
-    base = np.stack([np.bincount(rows, chain.weights[cols, k], n) for k in range(m)], 1) + chain.bias
+        return np.zeros((0, m), bool), np.zeros((0, m))
+    base = base_scores(chain, docs)
     paths = np.zeros((n, 1, m), np.int8)
     log = np.zeros((n, 1))
     for k in range(m):
@@ -202,25 +224,25 @@ def decode(chain: Chain, docs: list[set[str]], beam: int = BEAM) -> tuple[np.nda
         both = np.concatenate([log + np.log1p(-p), log + np.log(p)], 1)
         grown = np.concatenate([paths, paths], 1)
         grown[:, paths.shape[1] :, k] = 1
-        keep = np.argsort(-both, 1)[:, : beam + 1]
+        keep = np.argsort(-both, 1, kind="stable")[:, : beam + 1]
         log = np.take_along_axis(both, keep, 1)
         paths = np.take_along_axis(grown, keep[:, :, None], 1)
-    empty = paths.sum(2) == 0
-    pick = np.argmax(np.where(empty, -np.inf, log), 1)
-    best = paths[np.arange(n), pick]
-    none = best.sum(1) == 0
-    if none.any():
-        best[none, base[none].argmax(1)] = 1
-    return best.astype(bool), np.exp(log[np.arange(n), pick])
+    share = np.where(paths.any(2), np.exp(log - log.max(1, keepdims=True)), 0.0)
+    total = share.sum(1, keepdims=True)
+    probability = np.where(total > 0, np.einsum("nb,nbm->nm", share, paths) / np.maximum(total, 1e-300), 0.0)
+    labels = probability >= chain.cut_off
+    top = np.where(total[:, 0] > 0, probability.argmax(1), base.argmax(1))
+    labels[np.arange(n), top] = True
+    return labels, probability
 
 
-def clean_fields(title: str | None, summary: str | None, machine, weights: np.ndarray | None) -> tuple[str, str]:
+def clean_fields(title: str | None, summary: str | None, machine, wrong: encoding.Model | None) -> tuple[str, str]:
     """Title and summary with wrong encodings undone and residue taken out; null counts as empty."""
+    texts = [title or "", summary or ""]
+    if wrong is not None:
+        texts = [back or t for t, (_, back) in zip(texts, encoding.judge_all(wrong, texts))]
     out = []
-    for text in (title, summary):
-        text = text or ""
-        if text and weights is not None and encoding._suspicious(text):
-            text = encoding.judge(text, encoding.scores(weights, [text])[0])[1] or text
+    for text in texts:
         found = residue.kind_of(machine, text)
         if found == "slot":
             text = residue.SLOTS.sub(" ", text)
@@ -232,9 +254,14 @@ def clean_fields(title: str | None, summary: str | None, machine, weights: np.nd
     return out[0], out[1]
 
 
-def features_of(title: str, summary: str, source: str | None) -> set[str]:
-    """All features of a record."""
-    return grams_of(terms_of(title)) | grams_of(terms_of(summary)) | set(structure_of(title, summary, source))
+def line_of(title: str, summary: str) -> str:
+    """All terms of a record as one line of text."""
+    return " ".join([*terms_of(title), ".", *terms_of(summary)])
+
+
+def features_of(line: str, outer: Iterable[str]) -> set[str]:
+    """All features of a record from its line of terms and its source and structure features."""
+    return grams_of(line.split(" ")) | set(outer)
 
 
 def language_of(words: set[str]) -> str:
@@ -242,17 +269,10 @@ def language_of(words: set[str]) -> str:
     return max(_LANGUAGE, key=lambda x: (sum(w in words for w in _LANGUAGE[x]) / len(_LANGUAGE[x]), x == "en"))
 
 
-def topical(docs: list[set[str]], labels: np.ndarray, others: list[set[str]]) -> set[str]:
-    """Terms that may tell a subject: none of their words is common in its language, unless the examples tie it to one subject, they
-    recur, and where examples have them they are pure."""
-    by_language: dict[str, Counter] = {}
-    size: Counter = Counter()
-    total: Counter = Counter()
-    for d in (*docs, *others):
-        lang = language_of(d)
-        size[lang] += 1
-        by_language.setdefault(lang, Counter()).update(g for g in d if " " not in g)
-        total.update(d)
+def topical(docs: list[set[str]], labels: np.ndarray, others: list[set[str]], common: set[str]) -> set[str]:
+    """Terms that may tell a subject: none of their words is in `common`, unless the examples tie it to one subject, they recur, and
+    where examples have them they are pure."""
+    total = Counter(g for d in (*docs, *others) for g in d)
     seen: Counter = Counter()
     own: dict[str, np.ndarray] = {}
     for d, y in zip(docs, labels):
@@ -261,79 +281,120 @@ def topical(docs: list[set[str]], labels: np.ndarray, others: list[set[str]]) ->
                 seen[g] += 1
                 own[g] = own.get(g, 0) + y
     told = {w for w, k in seen.items() if k >= 4 and own[w].max() >= 0.8 * k}
-    common = {w for lang, c in by_language.items() for w, k in c.items() if k > max(2, TOO_COMMON * size[lang])} - told
-    ok = {g for g, k in total.items() if k >= (LEAST_RECORDS if others else 1) and (g[0] == " " or common.isdisjoint(g.split(" ")))}
+    barred = common - told
+    ok = {g for g, k in total.items() if k >= (LEAST_RECORDS if others else 1) and (g[0] == " " or barred.isdisjoint(g.split(" ")))}
     return {g for g in ok if g[0] == " " or seen[g] < 2 or own[g].max() >= PURITY * seen[g]}
 
 
-def fit(examples: list[tuple[str | None, str | None, list[str]]], unlabelled: list[tuple[str | None, str | None, str | None]], subjects: list[str], weights: np.ndarray | None = None) -> Chain:
-    """Fit on examples (title, summary, subjects), label the other records, and fit on both, `ROUNDS` times."""
-    machine = residue.automaton()
-    at = {s: k for k, s in enumerate(subjects)}
-    docs, labels = [], np.zeros((len(examples), len(subjects)), bool)
-    for k, (title, summary, own) in enumerate(examples):
-        docs.append(features_of(title or "", summary or "", None))
-        for s in own:
-            if s in at:
-                labels[k, at[s]] = True
-    more = []
-    for title, summary, source in unlabelled:
-        t, s = clean_fields(title, summary, machine, weights)
-        if len(t) + len(s) > 40:
-            more.append(features_of(t, s, source))
-    keep = topical(docs, labels, more)
+def _fit_once(docs: list[set[str]], labels: np.ndarray, more: list[set[str]], subjects: list[str], common: set[str]) -> Chain:
+    """Fit on examples, label the other records, and fit on both, `ROUNDS` times."""
+    keep = topical(docs, labels, more, common)
     docs, more = [d & keep for d in docs], [d & keep for d in more]
     chain = fit_chain(docs, labels, np.ones(len(docs)), subjects)
     for _ in range(ROUNDS if more else 0):
-        guessed, sure = decode(chain, more)
-        take = sure >= 0.5
-        chain = fit_chain(docs + [d for d, ok in zip(more, take) if ok], np.concatenate([labels, guessed[take]]), np.r_[np.full(len(docs), 1.5), sure[take]], subjects, labelled=len(docs))
+        guessed, p = decode(chain, more)
+        sure = np.where(guessed, p, 1 - p).prod(1)
+        take = sure >= SURE
+        chain = fit_chain(docs + [d for d, ok in zip(more, take) if ok], np.concatenate([labels, guessed[take]]), np.r_[np.full(len(docs), 1.5), sure[take]], subjects, start=chain)
     return chain
 
 
-def model_of(articles: DataFrame, subject_label: DataFrame, subject_area: DataFrame, fit_rows: int = FIT_ROWS, self_rows: int = SELF_ROWS) -> tuple[Chain, np.ndarray]:
-    """The chain and the weights of the encoding classifier, from at most `fit_rows` label rows and `self_rows` records chosen by hash."""
-    subjects = [r.subject for r in subject_area.where("subject is not null").orderBy("subject_id", "subject").select("subject").distinct().collect()]
-    subjects = sorted(set(subjects))
-    rows = subject_label.where("subject is not null").orderBy("example_id", "subject").limit(fit_rows).collect()
-    grouped: dict = {}
-    for r in rows:
-        grouped.setdefault(r.example_id, (r.title, r.summary, []))[2].append(r.subject)
-    picked = articles.where(F.length(F.concat_ws(" ", "title", "summary")) > 40).select("title", "summary", "source_name", F.xxhash64("id").alias("h")).orderBy("h", "title").limit(self_rows).collect()
-    wrong = encoding.fit([f"{r.title or ''} {r.summary or ''}" for r in picked if not encoding._suspicious(f"{r.title or ''} {r.summary or ''}") and not f"{r.title}{r.summary}".isascii()][:1500])
-    return fit(list(grouped.values()), [(r.title, r.summary, r.source_name) for r in picked], subjects, wrong), wrong
+def fit(examples: list[set[str]], labels: np.ndarray, more: list[set[str]], subjects: list[str], common: set[str] = frozenset()) -> Chain:
+    """The chain of examples and self-labelled records, both as sets of features.
+
+    Every one of `FOLDS` parts of the examples is scored by a chain that was fitted without it; calibration and the cut-off come from
+    these scores alone. The cut-off is the one that gives as many labels as the examples have, so that shares of subjects come out right.
+    """
+    chain = _fit_once(examples, labels, more, subjects, common)
+    n, m = labels.shape
+    if n < 10 * FOLDS:
+        return chain
+    parts = [(np.flatnonzero(np.arange(n) % FOLDS == f), _fit_once([examples[k] for k in range(n) if k % FOLDS != f], labels[np.arange(n) % FOLDS != f], more, subjects, common)) for f in range(FOLDS)]
+    score = np.zeros((n, m))
+    for rows, own in parts:
+        score[rows] = base_scores(own, [examples[k] for k in rows]) + labels[rows] @ own.links.T
+    for k in range(m):
+        chain.slope[k], chain.shift[k] = _calibrate(score[:, k], labels[:, k].astype(float))
+    p, best = np.zeros((n, m)), np.zeros((n, m), bool)
+    for rows, own in parts:
+        own.slope, own.shift = chain.slope, chain.shift
+        _, p[rows] = decode(own, [examples[k] for k in rows])
+    best[np.arange(n), p.argmax(1)] = True
+    chain.cut_off = min((abs(int(((p >= c) | best).sum()) - int(labels.sum())), c) for c in CUT_OFFS)[1]
+    return chain
 
 
-def assign_subjects(articles: DataFrame, model: tuple[Chain, np.ndarray], key: str = "id") -> DataFrame:
-    """(`key`, `subject`, `probability`): one row per row of `articles` and subject of its best combination.
+_PREPARED = "source_name string, lang string, line string, outer string"
 
-    A record with any real text gets one subject or more; one that is null, empty or only residue gets none. `probability` is that
-    of the combination. Whole texts are read.
-    """
+
+def prepare(articles: DataFrame, wrong: encoding.Model | None, key: str = "id") -> DataFrame:
+    """(`key`, `source_name`, `lang`, `line`, `outer`) of the rows with any real text: language, terms, and source and structure features."""
     spark = articles.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(wrong)
     kind = articles.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, wrong = shared.value
         machine = residue.automaton()
-        known = chain.vocabulary
         for b in batches:
-            at, docs = [], []
-            columns = [b.column(k).to_pylist() for k in (1, 2, 3)]
-            for k, (title, summary, source) in enumerate(zip(*columns)):
-                t, s = clean_fields(title, summary, machine, wrong)
-                if any(c.isalpha() for c in t) or any(c.isalpha() for c in s):
-                    at.append(k)
-                    docs.append({g for g in features_of(t, s, source) if g in known})
-            labels, sure = decode(chain, docs)
+            at, lang, lines, outer = [], [], [], []
+            for k, (title, summary, source) in enumerate(zip(*[b.column(c).to_pylist() for c in (1, 2, 3)])):
+                t, s = clean_fields(title, summary, machine, shared.value)
+                if any(map(str.isalpha, t)) or any(map(str.isalpha, s)):
+                    line = line_of(t, s)
+                    at.append(k), lang.append(language_of(set(line.split(" ")))), lines.append(line), outer.append("\t".join(structure_of(t, s, source)))
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(3).take(rows), pa.array(lang, pa.string()), pa.array(lines, pa.string()), pa.array(outer, pa.string())], [key, "source_name", "lang", "line", "outer"])
+
+    return articles.select(key, "title", "summary", "source_name").mapInArrow(run, f"`{key}` {kind}, {_PREPARED}")
+
+
+def common_words(prepared: DataFrame, share: float = TOO_COMMON) -> set[str]:
+    """Words that more than `share` of the records of a language have, counted over all records.
+
+    A language can't have more such words than its records have words on average, divided by `share`.
+    """
+    sizes = prepared.groupBy("lang").agg(F.count("*").alias("size"))
+    words = prepared.select("lang", F.explode(F.array_distinct(F.split("line", " "))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return {r.word for r in words.join(small(sizes), "lang").where(F.col("n") > F.greatest(F.lit(2.0), share * F.col("size"))).select("word").distinct().collect()}
+
+
+def model_of(prepared: DataFrame, subject_label: DataFrame, subject_area: DataFrame, key: str = "id", fit_rows: int = FIT_ROWS, self_rows: int = SELF_ROWS) -> Chain:
+    """The chain, from at most `fit_rows` label rows and about `self_rows` of the prepared records, those with the least hashes of their keys."""
+    subjects = sorted({r.subject for r in subject_area.where("subject is not null").select("subject").distinct().limit(fit_rows).collect()})
+    at = {s: k for k, s in enumerate(subjects)}
+    grouped: dict = {}
+    for r in subject_label.where("subject is not null").orderBy("example_id", "subject").limit(fit_rows).collect():
+        grouped.setdefault(r.example_id, (r.title or "", r.summary or "", set()))[2].add(r.subject)
+    labels = np.zeros((len(grouped), len(subjects)), bool)
+    examples = []
+    for k, (title, summary, own) in enumerate(grouped.values()):
+        examples.append(features_of(line_of(title, summary), structure_of(title, summary, None)))
+        labels[k, [at[s] for s in own if s in at]] = True
+    picked = hash_sample(prepared, key, self_rows).dropDuplicates([key]).select("line", "outer").collect()
+    more = sorted((r.line, r.outer) for r in picked)
+    return fit(examples, labels, [features_of(line, outer.split("\t")) for line, outer in more], subjects, common_words(prepared))
+
+
+def assign_subjects(articles: DataFrame, subject_label: DataFrame, subject_area: DataFrame, key: str = "id", wrong: encoding.Model | None = None) -> DataFrame:
+    """(`key`, `subject`, `probability`): one row per row of `articles` and subject that it is about.
+
+    A record with any real text gets one subject or more; one that is null, empty or only residue gets none. Whole texts are read.
+    `wrong`: the encoding classifier, fitted on `articles` where none are given.
+    """
+    spark = articles.sparkSession
+    kind = articles.schema[key].dataType.simpleString()
+    prepared = cut(prepare(articles, encoding.fit_on(articles) if wrong is None else wrong, key), "terms")
+    shared = spark.sparkContext.broadcast(model_of(prepared, subject_label, subject_area, key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = shared.value
+        for b in batches:
+            docs = [features_of(line, outer.split("\t")) for line, outer in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            labels, p = decode(chain, docs)
             doc, subject = np.nonzero(labels)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.array(at, np.int64)[doc] if len(doc) else [], pa.int64())), pa.array([chain.subjects[j] for j in subject], pa.string()), pa.array(sure[doc], pa.float64())],
-                [key, "subject", "probability"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc, pa.int64())), pa.array([chain.subjects[j] for j in subject], pa.string()), pa.array(p[doc, subject], pa.float64())], [key, "subject", "probability"])
 
-    return articles.select(key, "title", "summary", "source_name").mapInArrow(run, f"`{key}` {kind}, subject string, probability double")
+    return prepared.select(key, "line", "outer").mapInArrow(run, f"`{key}` {kind}, subject string, probability double")
 
 
 def subject_shares(assigned: DataFrame, key: str = "id") -> DataFrame:
@@ -345,10 +406,4 @@ def subject_shares(assigned: DataFrame, key: str = "id") -> DataFrame:
 
 def found(articles: DataFrame, subject_label: DataFrame, subject_area: DataFrame) -> DataFrame:
     """(`id`, `subject`) of all articles; an article in several rows counts once, a null id not at all."""
-    rows = articles.where(F.col("id").isNotNull())
-    return assign_subjects(rows, model_of(rows, subject_label, subject_area)).select("id", "subject").distinct()
-
-
-def words(texts: Iterable[str]) -> list[str]:
-    """Terms of several texts, for a look at what the classifier sees."""
-    return [t for x in texts for t in terms_of(x)]
+    return assign_subjects(articles.where(F.col("id").isNotNull()), subject_label, subject_area).select("id", "subject").distinct()
