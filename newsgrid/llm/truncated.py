@@ -1,8 +1,9 @@
 """Text cut off by a field limit or a broken transfer.
 
-Values are sorted within hashed fixed-length prefixes, so that a value that is a strict prefix of a longer copy stands just before
-it. The same is done below the level of records: the end of each value is looked up among all word sequences of the corpus, which
-tell whether such a sequence ends sentences or is the beginning of longer ones.
+All distinct values are sorted over the whole cluster, so that those that go on after a value stand right behind it, and each part of
+the sorted values is walked once. The same question is put below the level of records: the end of each value is looked up among all word
+sequences of the corpus, which tell whether such a sequence ends sentences or is the beginning of longer ones. Limits of fields are
+lengths at which the doubtful ends of a source pile up.
 """
 
 from __future__ import annotations
@@ -18,10 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgrid.llm import residue
-from newsgrid.session import cut
+from newsgrid.session import cut, small, task_slices
 
-#: Length of the hashed prefixes by which values are sorted, and of those for values shorter than that.
-PREFIX, SHORT_PREFIX = 80, 20
 #: Share of a sequence's occurrences that end sentences from which on a text may end with it. Complete texts without a stop are
 #: about three times as many as cut ones and sentence ends 15 times as rare as other places between words: 1 / 45.
 END_SHARE = 0.022
@@ -33,10 +32,13 @@ ENOUGH = 4
 SMOOTH = 12
 #: Share of the places one or two words further on that end sentences, from which on the place of the last words may end one.
 AROUND = 0.2
-#: Code points at the end of a text in which marks and remarks are looked for; the sequences before them need fewer.
+#: Code points at the end of a text in which marks and remarks are looked for, and the rest of the word before them.
 TAIL = 100
-#: Code points at which the field itself ends.
-FIELD_LIMIT = 500
+#: A length is a limit of a source's field, or of all, if at least so many more doubtful ends are there than at the lengths around it,
+#: beyond what chance gives, and so many times as many.
+PILE, PILE_TIMES, AROUND_LIMIT = 5, 4, 15
+#: What a longer copy must go on with after a value: a word, with or without a mark and a blank before it.
+_GOES_ON = re.compile(r"[,;:]? ?[^\W_]")
 
 # What feeds put after a complete text, in six languages.
 REMARKS = (
@@ -153,7 +155,7 @@ def sequence_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np
 
 def tail_keys(cores: list[str], dots: list[bool]) -> list[list[tuple[str, int]]]:
     """(level, key) under which the corpus counts the end of each text, as `sequence_counts` forms them."""
-    split = [c[-200:].split() for c in cores]
+    split = [c.rsplit(None, 6)[-6:] for c in cores]
     mask, ends, sentence, _, _ = _encode(split)
     stops = np.flatnonzero(mask == 1)
     out = []
@@ -178,22 +180,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def tail_of(text: str | None) -> tuple[str, str] | None:
-    """(core, mark) of a text whose end is in doubt, None of one that plainly ends.
+def ends_plainly(text: Column) -> Column:
+    """Whether a text plainly ends a sentence: with a stop that is no abbreviation's, no dots and no remark's. `tail_of` asks the same."""
+    bare = F.regexp_replace(text, r"(?U)\s+$", "")
+    stop = bare.rlike("[.?!]$") & ~bare.endswith("...")
+    return stop & ~bare.rlike(f"(?i){_ABBREVIATION.pattern}") & ~bare.rlike(f"(?iU){_REMARK_STOP.pattern}")
 
-    `core` is the text without remarks and marks; `mark` is "mark", "broken", "dots", "open" or "".
+
+def tail_of(text: str | None) -> tuple[str, str | None] | None:
+    """(core, mark) of a text, None of one that is null or blank or plainly ends.
+
+    `core` is the text without remarks and marks; `mark` is "mark", "broken", "dots", "open" or "", or None if what is left plainly ends.
     """
-    if not text:
+    if not text or not (text := text.rstrip()):
         return None
-    text = text.rstrip()
-    head, text = text[:-TAIL], text[-TAIL:]
-    if text[-1:] in ".?!" and text[-3:] != "..." and not _ABBREVIATION.search(text[-8:]) and not _REMARK_STOP.search(text[-40:]):
+    at = max(text.rfind(" ", 0, max(0, len(text) - TAIL)), 0)
+    head, text = text[:at], text[at:]
+    if text[-1:] in ".?!" and text[-3:] != "..." and not _ABBREVIATION.search(text) and not _REMARK_STOP.search(text):
         return None
     text = _WRONG_ARROW.sub("→", _WRONG_DOTS.sub("…", text)).rstrip()
-    for _ in range(3):
-        m = _REMARK.search(text)
-        if not m or not m[0].strip():
-            break
+    while (m := _REMARK.search(text)) and m[0].strip():
         text = text[: m.start()].rstrip()
     mark = ""
     if m := _MARK.search(text):
@@ -204,11 +210,11 @@ def tail_of(text: str | None) -> tuple[str, str] | None:
         text, mark = text[: m.start()].rstrip(), "broken"
     elif m := _DOTS.search(text):
         text, mark = text[: m.start()].rstrip(), "dots"
-    if not (head + text).strip():
+    whole = head + text
+    if not whole.strip():
         return None
     if not mark and _FINAL.search(text) and not _ABBREVIATION.search(text):
-        return None
-    whole = head + text
+        return whole, None
     if not mark and whole[-1] in ",;:–—-(“„«&":
         mark = "open"
     return whole, mark
@@ -226,64 +232,138 @@ def corpus_sequences(df: DataFrame, text: str = "summary") -> DataFrame:
     return counted.groupBy("key").agg(F.sum("n_end").alias("n_end"), F.sum("n_mid").alias("n_mid"))
 
 
-_TAIL_SCHEMA = "_core string, _mark string, _keys array<struct<l:string,k:bigint>>, _whole boolean, _edge boolean, _long boolean"
+_TAIL_SCHEMA = "_source string, _core string, _mark string, _keys array<struct<l:string,k:bigint>>, _whole boolean, _edge boolean, _size int"
 
 
-def tails(df: DataFrame, key: str = "id", text: str = "summary", only_doubtful: bool = True) -> DataFrame:
-    """(`key`, `_core`, ...) of the texts whose end is in doubt, or of all texts (then `_mark` is null for those that plainly end).
+def _is_residue(machine, text: str) -> bool:
+    """Whether a text is residue rather than a text with residue in it."""
+    kind = residue.kind_of(machine, text, alone=True)
+    rest = residue.SLOTS.sub("", text) if kind == "slot" else text
+    return kind in ("page", "filler") or sum(map(str.isalnum, rest)) < residue.COVERAGE * sum(map(str.isalnum, text))
 
-    Residue is left out, and so are null and empty texts.
-    """
+
+def tails(df: DataFrame, key: str = "id", text: str = "summary", source: str = "source_name") -> DataFrame:
+    """(`key`, `_source`, `_core`, `_mark`, ...) of the texts that don't plainly end; `_mark` is null where they end all the same once
+    remarks are taken off. Residue, null and blank texts are left out."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = residue.automaton()
         for b in batches:
-            at, core, mark, whole, edge, long = [], [], [], [], [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
+            at, core, mark, whole, edge, size = [], [], [], [], [], []
+            for k, t in enumerate(b.column(2).to_pylist()):
                 found = tail_of(t)
-                if found is None:
-                    if not only_doubtful and t:
-                        at.append(k), core.append(" ".join(t.split())), mark.append(None), whole.append(None), edge.append(None), long.append(None)
-                    continue
-                if only_doubtful and ((r := residue.kind_of(machine, t)) in ("page", "filler") or r == "slot" and len(t) < 80):
+                if found is None or _is_residue(machine, t):
                     continue
                 text_, mark_ = found
-                at.append(k), core.append(" ".join(text_.split())), mark.append(mark_)
-                whole.append(bool(_FINAL.search(text_) and not _ABBREVIATION.search(text_)))
+                at.append(k), core.append(" ".join(text_.split())), mark.append(mark_), size.append(len(t))
+                whole.append(bool(_FINAL.search(text_[-TAIL:]) and not _ABBREVIATION.search(text_[-TAIL:])))
                 edge.append(text_[-1] in ",;“„«(&")
-                long.append(len(t) >= FIELD_LIMIT - 1)
-            keys = [[{"l": x, "k": y} for x, y in each] for each in tail_keys(core, [m == "dots" for m in mark])] if only_doubtful else [None] * len(at)
-            columns = [pa.array(core, pa.string()), pa.array(mark, pa.string()), pa.array(keys, pa.list_(pa.struct([("l", pa.string()), ("k", pa.int64())]))), pa.array(whole, pa.bool_()), pa.array(edge, pa.bool_()), pa.array(long, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], [key, "_core", "_mark", "_keys", "_whole", "_edge", "_long"])
+            keys = [[{"l": x, "k": y} for x, y in each] if m is not None else None for m, each in zip(mark, tail_keys(core, [m == "dots" for m in mark]))]
+            columns = [pa.array(core, pa.string()), pa.array(mark, pa.string()), pa.array(keys, pa.list_(pa.struct([("l", pa.string()), ("k", pa.int64())]))), pa.array(whole, pa.bool_()), pa.array(edge, pa.bool_()), pa.array(size, pa.int32())]
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *columns], [key, "_source", "_core", "_mark", "_keys", "_whole", "_edge", "_size"])
+
+    name = F.col(source).cast("string") if source in df.columns else F.lit(None).cast("string")
+    return df.where((F.length(text) > 0) & ~ends_plainly(F.col(text))).select(key, name.alias("_source"), text).mapInArrow(run, f"`{key}` {kind}, {_TAIL_SCHEMA}")
 
-    return df.select(key, text).where(F.length(text) > 0).mapInArrow(run, f"`{key}` {kind}, {_TAIL_SCHEMA}")
 
+class _Walk:
+    """One part of the sorted distinct values, walked from first to last.
 
-def prefixes_of_longer(values: DataFrame, core: str = "_core", doubtful: str = "_doubtful") -> DataFrame:
-    """(`core`) of the doubtful values that are a strict prefix of a longer value which goes on in the midst of a word or sentence.
+    Values that may still be gone on with lie on a stack, each a prefix of the next. Where parts meet, what lies on the stack at the end
+    of one may be gone on with in the next: a part tells its first value, and after how many characters of that a value of the part goes
+    on with a word where the first value itself doesn't.
+    """
 
-    Distinct values are sorted within the hash of their first characters; a value that is a prefix of any longer one is a prefix
-    of the one just after it, so that one look ahead finds all without pairs.
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.first: str | None = None
+        self.shared = 0
+        self.more: set[int] = set()
+
+    def step(self, value: str, doubtful: bool) -> list[str]:
+        """The values on the stack that this one goes on after, now settled."""
+        if self.first is None:
+            self.first, self.shared = value, len(value)
+        elif self.shared:
+            n = min(self.shared, len(value))
+            if not value.startswith(self.first[:n]):
+                low, high = 0, n
+                while low < high:
+                    middle = (low + high + 1) // 2
+                    low, high = (middle, high) if value.startswith(self.first[:middle]) else (low, middle - 1)
+                n = low
+            self.shared = n
+            for k in range(max(1, n - 2), n + 1):
+                if k < len(value) and _GOES_ON.match(value, k) and not _GOES_ON.match(self.first, k):
+                    self.more.add(k)
+        while self.stack and not value.startswith(self.stack[-1]):
+            self.stack.pop()
+        settled = [v for v in self.stack if len(v) < len(value) and _GOES_ON.match(value, len(v))]
+        if settled:
+            self.stack = [v for v in self.stack if v not in settled]
+        if doubtful:
+            self.stack.append(value)
+        return settled
+
+
+def prefixes_of_longer(values: DataFrame) -> DataFrame:
+    """(`_core`) of the doubtful values of (`_core`, `_doubtful`) that are a strict prefix of a longer value which goes on in the midst of
+    a word or sentence, at any length.
+
+    Values are made distinct and sorted by range, so that no group of values with a common beginning has to be in one task. What crosses
+    the borders of the parts, one value a part and the prefixes that are open there, is settled on the driver.
     """
-    distinct = values.groupBy(core).agg(F.max(doubtful).alias(doubtful))
-    hit = None
-    for size, least, most in ((PREFIX, PREFIX, None), (SHORT_PREFIX, SHORT_PREFIX, PREFIX - 1)):
-        part = distinct.where(F.length(core) >= least).withColumn("_hash", F.xxhash64(F.substring(core, 1, size)))
-        shown = F.col(core)
-        if most is not None:
-            part = part.withColumn("_value", F.substring(core, 1, most + 24)).groupBy("_hash", "_value").agg(F.max(F.col(doubtful) & (F.length(core) <= most)).alias(doubtful))
-            shown = F.col("_value")
-        ahead = F.lead(shown).over(Window.partitionBy("_hash").orderBy(shown))
-        rest = F.col("_next").substr(F.length("_v") + 1, F.lit(40))
-        found = (
-            part.select(doubtful, shown.alias("_v"), ahead.alias("_next"))
-            .where(F.col(doubtful) & F.col("_next").startswith(F.col("_v")) & (F.length("_next") > F.length("_v")))
-            .where(rest.rlike(r"^[\p{L}\p{N}]") | rest.rlike(r"^[,;:]? [\p{L}\p{N}]"))
-            .select(F.col("_v").alias(core))
-        )
-        hit = found if hit is None else hit.unionByName(found)
-    return hit
+    spark = values.sparkSession
+    distinct = cut(values.groupBy("_core").agg(F.max("_doubtful").alias("_doubtful")), "values")
+    ordered = distinct.repartitionByRange(task_slices(spark), "_core").sortWithinPartitions("_core").withColumn("_part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: int, kind: str, found: list[str], at: list[int]) -> pa.RecordBatch:
+            n = len(found)
+            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([kind] * n), pa.array(found, pa.string()), pa.array([at] * n, pa.list_(pa.int32()))], ["part", "kind", "value", "at"])
+
+        walk, part = _Walk(), None
+        for b in batches:
+            hits = []
+            for value, doubtful, part in zip(*[c.to_pylist() for c in b.columns]):
+                hits += walk.step(value, doubtful)
+            if hits:
+                yield out(part, "hit", hits, [])
+        if part is not None:
+            yield out(part, "first", [walk.first], sorted(walk.more))
+            if walk.stack:
+                yield out(part, "open", walk.stack, [])
+
+    walked = cut(ordered.mapInArrow(run, "part int, kind string, value string, at array<int>"), "prefixes")
+    firsts: list = []
+    opened: list = []
+    for r in sorted(walked.where("kind != 'hit'").collect(), key=lambda r: r.part):  # a value a part, and the prefixes of one value
+        (firsts if r.kind == "first" else opened).append(r)
+    across = set()
+    for o in opened:
+        for f in firsts:
+            if f.part > o.part:
+                if not f.value.startswith(o.value):
+                    break
+                if len(f.value) > len(o.value) and (_GOES_ON.match(f.value, len(o.value)) or len(o.value) in f.at):
+                    across.add((o.value,))
+                    break
+    hits = walked.where("kind = 'hit'").select(F.col("value").alias("_core"))
+    return hits.unionByName(spark.createDataFrame(sorted(across), "_core string")).distinct()
+
+
+def field_limits(doubtful: DataFrame, by: str | None = "_source") -> DataFrame:
+    """(`_s`, `_z`): sources and lengths at which their doubtful ends (`_source`, `_core`, `_size`) pile up, a null source being one too;
+    without `by` over all sources, `_s` being null. Ends with the same last words count once, as copies of a report have equal lengths."""
+    own = F.col(by) if by else F.lit(None).cast("string")
+    ends = doubtful.select(own.alias("_s"), F.col("_size").alias("_z"), F.expr("right(_core, 20)").alias("_end")).distinct()
+    counts = ends.groupBy("_s", "_z").agg(F.count("*").alias("_n"))
+    near = Window.partitionBy("_s").orderBy("_z").rangeBetween(-AROUND_LIMIT, AROUND_LIMIT)
+    around = (F.sum("_n").over(near) - F.col("_n")) / (2 * AROUND_LIMIT)
+    piled = (F.col("_n") >= F.col("_around") + PILE + 3 * F.sqrt("_around")) & (F.col("_n") >= PILE_TIMES * F.col("_around"))
+    return counts.withColumn("_around", around).where(piled).select("_s", "_z")
 
 
 def judge_tails(doubtful: DataFrame, sequences: DataFrame, longer: DataFrame, key: str = "id") -> DataFrame:
@@ -313,25 +393,32 @@ def judge_tails(doubtful: DataFrame, sequences: DataFrame, longer: DataFrame, ke
         .when((F.col("_mark") == "dots") & ~F.col("_whole") & ~((remark >= 3) & (middle * 4 <= remark)), "mark")
         .when(F.col("_mark").isin("mark", "broken", "dots"), None)
         .when(F.col("_edge"), "open")
-        .when(F.col("_long"), "limit")
+        .when(F.col("_limit"), "limit")
         .when(total("k1") == 0, "word")
         .when((total("ks") >= ENOUGH) & (share("ks") < NAME_SHARE), "name")
         .when((level < END_SHARE) & ~((around >= AROUND) & (F.coalesce(F.col("k1.e"), F.lit(0)) > 0)), "sequence")
     )
-    marked = doubtful.join(longer.distinct().withColumn("_c", F.lit(True)), "_core", "left").withColumn("_copy", F.coalesce("_c", F.lit(False)))
+    marked = doubtful.join(longer.withColumn("_c", F.lit(True)), "_core", "left").withColumn("_copy", F.coalesce("_c", F.lit(False)))
     return marked.join(looked, key, "left").select(key, by.isNotNull().alias("cut"), by.alias("by"))
 
 
-def find_truncated(df: DataFrame, key: str = "id", text: str = "summary") -> DataFrame:
+def find_truncated(df: DataFrame, key: str = "id", text: str = "summary", source: str = "source_name") -> DataFrame:
     """(`key`, `by`) of the records whose text was cut inside a word or sentence, each key once.
 
-    Null and empty texts, residue, complete texts without a stop or with a link or remark after them are no cases; repeated rows
-    count once; null keys are left out. Very long texts are looked at whole.
+    Null and blank texts, residue, complete texts without a stop or with a link or remark after them are no cases; repeated rows
+    count once; null keys are left out. Very long texts are looked at whole. A frame without the column `source` is one source.
     """
-    rows = df.select(key, text).where(F.col(key).isNotNull())
-    doubtful = cut(tails(rows, key, text).dropDuplicates([key]), "tails")
-    values = tails(rows, key, text, only_doubtful=False).select("_core", F.col("_mark").isNotNull().alias("_doubtful"))
-    judged = judge_tails(doubtful, corpus_sequences(rows, text), prefixes_of_longer(values), key)
+    rows = df.select(key, text, *([source] if source in df.columns else [])).where(F.col(key).isNotNull())
+    ended = cut(tails(rows, key, text, source), "tails")
+    doubtful = ended.where("_mark is not null").dropDuplicates([key])
+    squeezed = F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
+    plain = rows.where((F.length(text) > 0) & ends_plainly(F.col(text))).select(squeezed.alias("_core"), F.lit(False).alias("_doubtful"))
+    values = plain.unionByName(ended.select("_core", F.col("_mark").isNotNull().alias("_doubtful")))
+    limits = small(cut(field_limits(doubtful), "limits").withColumn("_l", F.lit(True)))
+    overall = small(cut(field_limits(doubtful, None), "limits").select(F.col("_z").alias("_a"), F.lit(True).alias("_all")))
+    known = doubtful.join(limits, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")), "left").join(overall, F.col("_size") == F.col("_a"), "left")
+    known = known.withColumn("_limit", F.coalesce("_l", "_all", F.lit(False))).drop("_s", "_z", "_l", "_a", "_all")
+    judged = judge_tails(known, corpus_sequences(rows, text), prefixes_of_longer(values), key)
     return judged.where("cut").select(key, "by")
 
 
