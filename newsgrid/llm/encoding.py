@@ -57,6 +57,16 @@ LABELS = [*CHAINS, *LOSSY]
 #: Single-byte readings of single-byte texts: every byte string decodes, so that the classifier is asked about the result too.
 SINGLE = {"koi8r>cp1251", "cp1251>koi8r", "cp1251>cp1252", "koi8r>cp1252", "cp866>cp1251", "cp1252>mac"}
 
+# Common words and marks beyond ASCII of the six languages, which small frames may lack.
+COMMON = (
+    "für über können müssen größe straße während später jährlich möglich München Köln Jahr, Söhne Ärzte Öl Übung heißt weiß "
+    "été déjà français où très après année première être même système événement garçon à élève façon dès créé réseau "
+    "año más también según después información niños está aquí día último país través español "
+    "não são também informação você está até mês já ação três país público através avó lições "
+    "и в на что это как для города также после года которые может первый новые время люди работы всё ещё "
+    "“text” ‘text’ „Text“ «texte» it’s l’année — – … → €5 20°"
+)
+
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 #: Letters of two scripts side by side, as no restored word has them.
 _MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-џ]|[Ѐ-џ][A-Za-zÀ-ɏ]")
@@ -181,8 +191,8 @@ class Model:
 
 
 def fit(texts: list[str]) -> Model:
-    """The classifier of clean texts, garbled word by word; uniform where there are none."""
-    times = Counter(w for t in texts for w in words_of(t))
+    """The classifier of clean texts and of `COMMON`, garbled word by word."""
+    times = Counter(w for t in (*texts, COMMON) for w in words_of(t))
     for w, n in list(times.items()):
         times[w.upper()] += CAPITALS * n
     counts = np.zeros((BUCKETS, len(LABELS)))

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsgrid.llm import encoding, mixing, neardup, packing, quality, residue, subject, tokens, truncated
 
@@ -98,8 +99,10 @@ def test_encoding_round_trip(spark):
                 continue
             assert encoding.judge_all(weights, [bad])[0][1] == t, (label, t)
     assert encoding.judge_all(weights, ["зПТПД РТПЧЕТСЕФ ОПЧЩЕ НПДЕМЙ"])[0][1] == "Город проверяет новые модели"
-    assert [c for c, _ in encoding.judge_all(weights, [*clean, "GROSSE FÄLLE ÜBER ÇÃODEL", "", None, "plain? Yes", "a" * 50_000])] == ["clean"] * 10
-    assert encoding.judge_all(weights, ["S�hne", "Dvo?ek here"]) == [("replacement", None), ("question", None)]
+    assert [c for c, _ in encoding.judge_all(weights, [*clean, "GROSSE FÄLLE ÜBER KÖLN", "", None, "plain? Yes", "a" * 50_000])] == ["clean"] * 10
+    assert encoding.judge_all(weights, ["S�hne", "Sie pr?ft H?user"]) == [("replacement", None), ("question", None)]
+    none = encoding.Model(np.zeros_like(weights.weights))
+    assert encoding.judge_all(none, ["MÃ¼nchen", "S�hne"]) == [("clean", None)] * 2  # the classifier decides, patterns alone find nothing
     rows = [("1", "MÃ¼nchen", None, "s"), ("1", "MÃ¼nchen", None, "s"), ("2", "", "S�hne", "s"), (None, "MÃ¼nchen", "", "s"), ("3", "fine", "ok", None)]
     assert {tuple(r) for r in encoding.found(articles(spark, rows)).collect()} == {("1", "title"), ("2", "summary")}
 
@@ -109,6 +112,7 @@ def test_encoding_round_trip(spark):
     [
         ("404 Not Found", "page"), ("Please enable JavaScript to view this page.", "page"), ("страница не найдена (id 55ce9906ce0)", "page"), ("Texto  de  ejemplo", "page"), ("{{ post.title }}", "slot"),
         ("Hi *|SUMMARY|*, a real report follows here.", "slot"), ("A guide shows how double braces such as {{ city }} mark a slot.", None), ("The firm explains why its site answered error 404 to readers on Monday.", None),
+        ("Gone", None), ("The report goes on for long about rail and roads in the north of the city and its plans. Try again later.", None), ("410 Gone", "page"), ("author_name: undefined", "slot"),
         ("It now explains “502 Bad Gateway” messages to staff at the firm in town.", None), ("Dolet fugor labur prabore duior eliscing consnam lorbore fugor.", "filler"), ("", None), (None, None), ("Cookie banners annoy readers in the city.", None),
     ],
 )
@@ -123,10 +127,17 @@ def test_filler_beside_other_letters(report):
     assert residue.kind_of(residue.automaton(), report) is None
 
 
+def test_single_words_need_company():
+    machine = residue.automaton()
+    assert residue.kinds_of(machine, ("Gone", "A film about a town by the sea.")) == [None, None]
+    assert residue.kinds_of(machine, ("Gone", "404 Not Found")) == ["page", "page"]
+    assert residue.kinds_of(machine, ("Forbidden", None)) == ["page", None] and residue.kinds_of(machine, (None, "")) == [None, None]
+
+
 def test_residue_rows(spark):
     rows = [("1", "404 Not Found", None, "s"), ("1", "404 Not Found", None, "s"), ("2", "A fine report", "", None), (None, "404 Not Found", "", "s")]
     assert [r.id for r in residue.found(articles(spark, rows)).collect()] == ["1"]
-    assert sorted(str(r.id) for r in residue.exclude_residue(articles(spark, rows)).collect()) == ["2", "None"]
+    assert sorted(str(r.id) for r in residue.exclude_residue(articles(spark, rows)).collect()) == ["2"]
 
 
 def test_truncated(spark):
@@ -139,6 +150,31 @@ def test_truncated(spark):
     assert truncated.found(articles(spark, []).limit(0)).count() == 0
 
 
+def test_prefixes_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    values = {"v", "v (see note)", "v zeta eta", "w", "w (x)", "", "same", "same…"}
+    for _ in range(400):
+        values.add("".join(rng.choice(["a", "b", " ", "ä", ", ", "("]) for _ in range(rng.randrange(1, 9))))
+    values |= {"c" * 60 + " tail" + str(k) for k in range(200)} | {"c" * 60, "c" * 61}
+    rows = [(v, rng.random() < 0.5 or v in ("v", "w", "c" * 60)) for v in sorted(values) for _ in range(1 + (len(v) == 2))]
+    doubtful = {v for v, d in rows if d}
+    want = {v for v in doubtful if any(w.startswith(v) and len(w) > len(v) and truncated._GOES_ON.match(w, len(v)) for w in values)}
+    for parts in (1, 7, 60):
+        monkeypatch.setattr(truncated, "task_slices", lambda _: parts)
+        got = [r._core for r in truncated.prefixes_of_longer(spark.createDataFrame(rows, "_core string, _doubtful boolean")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert "v" in want and "w" not in want
+
+
+def test_limits_and_plain_ends(spark):
+    rows = [(f"s{k % 2}", f"{k} ends here {k * 7919}", 280 if k < 12 else 100 + k) for k in range(60)] + [("s0", "copy of one text in all", 133)] * 40
+    got = {tuple(r) for r in truncated.field_limits(spark.createDataFrame(rows, "_source string, _core string, _size int")).collect()}
+    assert got == {("s0", 280), ("s1", 280)}
+    texts = ["Done.", "Done. ", "by Dr.", "More. Read more.", "wait...", "?", "", "  ", "Yes!”", "ends", "et en savoir plus.", "см. подробнее."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", truncated.ends_plainly(F.col("t")).alias("p"))
+    assert {r.t: r.p for r in df.collect()} == {t: bool(t.strip()) and truncated.tail_of(t) is None for t in texts}
+
+
 def test_subjects(spark):
     nouns = {"health": "nurses surgeons clinics vaccines".split(), "law": "judges courts lawyers appeals".split(), "arts": "painters operas galleries novels".split()}
     rng = random.Random(4)
@@ -179,6 +215,46 @@ def test_packing_whole_and_tight(spark):
     assert packing.pack_sizes(spark.createDataFrame([], "doc_id bigint, tokens bigint"), [(1, 512)]).count() == 0
 
 
+def test_packing_repeated_rows_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 8)
+    sizes = [(1, 512)] * 3 + [(2, 100)] * 20 + [(k, 64) for k in range(10, 40)] + [(3, 1300)] * 2
+    packed = packing.pack_sizes(spark.createDataFrame(sizes, "doc_id bigint, tokens bigint"), [(1, 512), (1, 1024), (1, 512)]).collect()
+    held = {}
+    for r in packed:
+        held.setdefault((r.container_id, r.capacity_tokens), []).append(r.tokens)
+    assert all(sum(t) <= c for (_, c), t in held.items()) and len({c for c, _ in held}) == len(held)
+    assert sum(r.tokens for r in packed) == 2 * sum(t for _, t in sizes)
+    with pytest.raises(ValueError):
+        packing.settings_of(spark.range(1001).selectExpr("cast(id as int) pack_id", "512 capacity_tokens"))
+
+
+def test_packing_opens_the_cheapest_size():
+    counts = {500: 3, 300: 40, 200: 40, 30: 5}
+    joint, single = packing.fit_histogram(counts, [512, 1024, 4096]), packing.fit_histogram(counts, [4096])
+    for plan in (joint, single):
+        got = {}
+        for n, c, contents in plan:
+            assert sum(s * m for s, m in contents.items()) <= c
+            for s, m in contents.items():
+                got[s] = got.get(s, 0) + n * m
+        assert got == counts
+    assert sum(n * packing.price(c) for n, c, _ in joint) < sum(n * packing.price(c) for n, c, _ in single)
+    square = packing.fit_histogram(counts, [512, 1024, 4096], lambda c: c + c * c / 1024)
+    assert {c for _, c, _ in square} == {512}
+
+
+def test_rounding_keeps_sums_and_expectations():
+    rng = np.random.default_rng(1)
+    long_, p0, total = np.array([900.0, 400.0, 90.0]), 0.3, 5000.0
+    draws = [mixing.settle_long(p0, long_, total, s) for s in range(4000)]
+    for p, rest in draws[:200]:
+        assert abs((p * long_).sum() + rest * (total - long_.sum()) - p0 * total) < 1e-6 and set(p) <= {0.0, 1.0}
+    assert np.abs(np.mean([p for p, _ in draws], 0) - p0).max() < 0.03 and abs(np.mean([r for _, r in draws]) - p0) < 0.01
+    size = np.sort(rng.integers(5, 500, 60))[::-1].astype(float)
+    many = np.array([mixing.pivot(np.full(60, 0.4), size, s) for s in range(3000)])
+    assert np.abs(many.mean(0) - 0.4).max() < 0.04 and np.abs(many @ size - 0.4 * size.sum()).max() < 1e-6
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     docs = [(k, "ab"[k % 2] if k % 10 else "c", rng.randrange(20, 400)) for k in range(2000)] + [(5000, None, 10), (5001, "a", 0)]
@@ -187,6 +263,8 @@ def test_mixing(spark):
     for r in chosen:
         if r.mix_id == 1:
             assert abs(r.actual_share - r.weight) < 0.003 and 1 <= r.n_copies <= {"a": 1, "b": 2, "c": 3}[r.source]
+    small_ = mixing.mix_sizes(spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint"), targets, total_tokens=20_000).where("mix_id = 1").collect()
+    assert abs(sum(r.n_copies * r.tokens for r in small_) - 20_000) < 900
     report = {(r.mix_id, r.source): r.actual_share for r in mixing.mix_report(spark.createDataFrame(chosen), targets).collect()}
     assert report[2, "none"] == 0 and report[2, "a"] == 1
     size, p = np.array([10.0] * 50), np.full(50, 0.3)
@@ -209,6 +287,27 @@ def test_quality(spark):
     assert {r.doc_id for r in quality.found(docs, stop).collect()} == {1, 2, 3, 4, 5}
 
 
+def test_lines_are_fitted(spark):
+    rng = np.random.default_rng(3)
+    true = quality.first_model()
+    stay = 0.97
+    true.transition = np.where(np.eye(4, dtype=bool), stay, (1 - stay) / 3)
+    codes = []
+    for _ in range(300):
+        state, out = rng.choice(4, p=true.start), []
+        for _ in range(40):
+            out.append(int((rng.random(len(quality.EMISSION)) < true.emission[:, state]) @ quality._BIT))
+            state = rng.choice(4, p=true.transition[state])
+        codes.append(np.array(out, np.uint16))
+    model = begin = quality.first_model()
+    for _ in range(5):
+        model = quality.refit(quality.expected_counts(model, codes, np.ones(len(codes))), begin)
+    assert np.abs(model.transition - true.transition).max() < np.abs(begin.transition - true.transition).max() / 2
+    twice = quality.expected_counts(begin, codes[:20] * 2, np.ones(40))
+    assert np.allclose(twice, quality.expected_counts(begin, codes[:20], np.full(20, 2.0)))
+    assert abs(twice[len(quality.EMISSION) * 4 :][:4].sum() - 2 * 20 * 40) < 1e-6
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "Hello <|endoftext|> world"), (2, ""), (3, None), (4, "word " * 20_000)], "doc_id int, text string")
     got = {r.doc_id: r.tokens for r in tokens.count_tokens(df, ("doc_id",)).collect()}
