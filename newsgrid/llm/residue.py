@@ -57,6 +57,8 @@ SLOTS = re.compile(
     rf"\[INSERT [^\]]{{1,40}}\]|\[object Object\]|(?<!\w)\[{_FIELD}\]|\{{{_FIELD}\}}|<\w+ goes here>|@@\w+@@|(?<!\w)__[A-Z][A-Z_]+__(?!\w)|(?<![\w%])%[sd](?!\w)|\{{\d\}}|&lt;%.*?%&gt;|(?<!\w)(?:{_NAMES})\s*:\s*(?:undefined|null|nan|none)\b",
     re.I,
 )
+#: What every slot holds.
+_OPENS = re.compile(r"[{<\[%*@_$#]|:\s*(?:undefined|null|nan|none)\b", re.I)
 #: Words before a slot by which a report shows or quotes it.
 _SHOWN = re.compile(
     r"(?:such as|like|write|writes|writing|written as|named|called|type|types|string|token|tag|marker|syntax|wie|etwa|schreiben|schreibt|comme|écrire|écrivent|como|escribir|escribe|escrever|escreve|пишут|писать|вроде|как)\s+[\"“„«'‘`]?$|[\"“„«‘`]$",
@@ -144,7 +146,7 @@ def kind_of(machine: ahocorasick.Automaton, text: str | None, coverage: float =
     """
     if not text or not text.strip():
         return None
-    if any(c in text for c in "{<[%*@_$#:") and has_slot(text):
+    if _OPENS.search(text) and has_slot(text):
         return "slot"
     low = _squeeze(text).lower()
     covered, filler = coverage_of(machine, low, alone)

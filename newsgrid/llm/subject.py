@@ -49,6 +49,7 @@ _LANGUAGE = {
     "en": "the of and to in with for on by that from are is at".split(),
 }
 
+_TELLING = {lang: frozenset(words) for lang, words in _LANGUAGE.items()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[.,;:!?()\"“”„«»…|]")
 #: Words that tell German, which writes all nouns with a capital.
 _NOUNS_WITH_CAPITALS = re.compile(r"\b(?:der|die|und|über|für|im|am|bei|von|nach|wie|mit|den|was|an|als|testet|bringt)\b")
@@ -236,22 +237,22 @@ def decode(chain: Chain, docs: list[set[str]], beam: int = BEAM) -> tuple[np.nda
     return labels, probability
 
 
-def clean_fields(title: str | None, summary: str | None, machine, wrong: encoding.Model | None) -> tuple[str, str]:
-    """Title and summary with wrong encodings undone and residue taken out; null counts as empty."""
-    texts = [title or "", summary or ""]
+def clean_fields(titles: list[str | None], summaries: list[str | None], machine, wrong: encoding.Model | None) -> list[tuple[str, str]]:
+    """Titles and summaries with wrong encodings undone and residue taken out; null counts as empty."""
+    fields = [[t or "" for t in titles], [t or "" for t in summaries]]
     if wrong is not None:
-        texts = [back or t for t, (_, back) in zip(texts, encoding.judge_all(wrong, texts))]
-    out = []
-    for text in texts:
+        fields = [[back or t for t, (_, back) in zip(f, encoding.judge_all(wrong, f))] for f in fields]
+    return [(_without_residue(t, machine), _without_residue(s, machine)) for t, s in zip(*fields)]
+
+
+def _without_residue(text: str, machine) -> str:
+    found = residue.kind_of(machine, text)
+    if found == "slot":
+        text = residue.SLOTS.sub(" ", text)
         found = residue.kind_of(machine, text)
-        if found == "slot":
-            text = residue.SLOTS.sub(" ", text)
-            found = residue.kind_of(machine, text)
-        if found:
-            parts = re.split(r"(?<=[.?!…])\s+|\s\|\s", text)
-            text = " ".join(p for p in parts if residue.kind_of(machine, p) is None)
-        out.append(text.strip())
-    return out[0], out[1]
+    if found:
+        text = " ".join(p for p in re.split(r"(?<=[.?!…])\s+|\s\|\s", text) if residue.kind_of(machine, p) is None)
+    return text.strip()
 
 
 def line_of(title: str, summary: str) -> str:
@@ -266,7 +267,7 @@ def features_of(line: str, outer: Iterable[str]) -> set[str]:
 
 def language_of(words: set[str]) -> str:
     """The language whose telling words a set of words holds most of."""
-    return max(_LANGUAGE, key=lambda x: (sum(w in words for w in _LANGUAGE[x]) / len(_LANGUAGE[x]), x == "en"))
+    return max(_TELLING, key=lambda x: (len(words & _TELLING[x]) / len(_TELLING[x]), x == "en"))
 
 
 def topical(docs: list[set[str]], labels: np.ndarray, others: list[set[str]], common: set[str]) -> set[str]:
@@ -337,8 +338,8 @@ def prepare(articles: DataFrame, wrong: encoding.Model | None, key: str = "id")
         machine = residue.automaton()
         for b in batches:
             at, lang, lines, outer = [], [], [], []
-            for k, (title, summary, source) in enumerate(zip(*[b.column(c).to_pylist() for c in (1, 2, 3)])):
-                t, s = clean_fields(title, summary, machine, shared.value)
+            titles, summaries, sources = (b.column(c).to_pylist() for c in (1, 2, 3))
+            for k, ((t, s), source) in enumerate(zip(clean_fields(titles, summaries, machine, shared.value), sources)):
                 if any(map(str.isalpha, t)) or any(map(str.isalpha, s)):
                     line = line_of(t, s)
                     at.append(k), lang.append(language_of(set(line.split(" ")))), lines.append(line), outer.append("\t".join(structure_of(t, s, source)))
