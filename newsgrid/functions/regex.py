@@ -19,13 +19,6 @@ def word_pattern(keyword: str) -> str:
     return f"{before}\\Q{low}\\E{after}"
 
 
-def count_word(text: Column, keyword: str) -> Column:
-    """Occurrences of a keyword as whole words in a text in lower case; the plain search spares the pattern where there is none."""
-    if not keyword:
-        return F.lit(0)
-    return F.when(F.instr(text, keyword.lower()) > 0, F.regexp_count(text, F.lit(word_pattern(keyword)))).otherwise(F.lit(0))
-
-
 def strip(text: Column) -> Column:
     """Text without white space at either end, of any kind."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsgrid.operators.instants import first_instant
 from newsgrid.operators.text import stored_summary
-from newsgrid.session import small
+from newsgrid.session import cut, small, task_slices
 
 DAYS = 14
 LEAST_TITLE = 10
@@ -59,29 +60,41 @@ def union_sources(rss: DataFrame, web: DataFrame) -> DataFrame:
 def from_feed(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Articles of raw feed entries: title, text, link and date by their rules; entries without a title are dropped.
 
-    The date is the first usable of the parsed and of the textual ones; textual ones are read as ISO or as mail dates.
+    The date is the first usable of the parsed and of the textual ones, as UTC whatever the session's zone; textual ones may have any
+    form that `parse_instant` reads, those without a zone count in the source's `zone_name`, where `sources` has one.
     """
-    def text_date(c: str) -> Column:
-        bare = F.regexp_replace(F.trim(F.col(c)), "^[A-Za-z]{3}, ", "")
-        at = F.coalesce(
-            F.expr(f"try_to_timestamp(trim(`{c}`))"), F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss z"))
-        )
-        return F.to_timestamp_ntz(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-
-    at = F.coalesce(F.col("published_parsed"), F.col("updated_parsed"), *[text_date(c) for c in ("dc_date", "published", "updated")])
+    extra = [c for c in ("zone_name", "day_first") if c in sources.columns]
+    dim = sources.groupBy(F.col("name").alias("source_name")).agg(F.min(F.struct("ord", *extra)).alias("_s"))
+    zone, first = (F.col(f"_s.{c}") if c in extra else F.lit(None).cast(k) for c, k in (("zone_name", "string"), ("day_first", "boolean")))
+    dim = small(dim.select("source_name", F.col("_s.ord").alias("source_ord"), zone.alias("_zone"), first.alias("_first")))
+    given = F.coalesce(F.col("published_parsed"), F.col("updated_parsed"))
+    texts = [F.when(given.isNull(), F.col(c)) for c in ("dc_date", "published", "updated")]
+    rows = entries.where(F.coalesce("title", F.lit("")) != "").join(dim, "source_name", "left").withColumn("_us", first_instant(*texts, F.col("_zone"), F.col("_first")))
+    at = F.coalesce(given, F.expr("timestampadd(MICROSECOND, _us, TIMESTAMP_NTZ'1970-01-01 00:00:00')"))
+    link = F.coalesce("link", F.lit(""))
+    return rows.select(
+        item_id(link, F.col("title")).alias("id"), "title", stored_summary(F.col("summary"), F.col("description")).alias("summary"), link.alias("link"), at.alias("published_at"), "source_name", "source_ord", "entry_ord"
+    )
+
+
+def from_pages(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """Articles of scraped headlines (`source_name`, `entry_ord`, `title`, `link`), in the form of `from_feed`: no text, no date."""
     dim = small(sources.groupBy(F.col("name").alias("source_name")).agg(F.min("ord").alias("source_ord")))
-    title, link = F.coalesce("title", F.lit("")), F.coalesce("link", F.lit(""))
-    rows = entries.select("source_name", "entry_ord", title.alias("title"), stored_summary(F.col("summary"), F.col("description")).alias("summary"), link.alias("link"), at.alias("published_at")).where("title != ''")
-    return rows.join(dim, "source_name", "left").select(item_id(F.col("link"), F.col("title")).alias("id"), "title", "summary", "link", "published_at", "source_name", "source_ord", "entry_ord")
+    return found.join(dim, "source_name", "left").select(
+        item_id(F.col("link"), F.col("title")).alias("id"), "title", F.lit("").alias("summary"), "link", F.lit(None).cast("timestamp_ntz").alias("published_at"), "source_name", "source_ord", "entry_ord"
+    )
 
 
-def positions(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:
-    """The frame with `position`, from 0 by `order`, without bringing all rows to one place.
+def positions(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The frame with `position`, from 0 by `order` (nulls last), without bringing all rows to one place.
 
-    `bucket` must not fall along the order; rows are counted per bucket, ranked within it, and moved on by the earlier buckets.
+    Rows are sorted by range over the cluster and numbered within their part; the parts' sizes, one row a part, move the numbers on.
+    `order` must tell rows apart for the same numbers in every run.
     """
-    parted = df.withColumn("_b", bucket)
-    sizes = parted.groupBy("_b").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = parted.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1)
-    return inside.join(starts, inside["_b"].eqNullSafe(starts["_b"])).drop(starts["_b"]).withColumn("position", (F.col("_s") + F.col("_r")).cast("bigint")).drop("_b", "_s", "_r")
+    by = [F.col(c).asc_nulls_last() for c in order]
+    parted = df.repartitionByRange(task_slices(df.sparkSession), *by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id())
+    parted = cut(parted.withColumn("_part", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m"), "positions")
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = small(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return parted.join(starts, "_part").withColumn("position", F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")

@@ -66,9 +66,23 @@ def keyword_classify(articles: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def batches(unmatched: DataFrame, size: int = BATCH) -> DataFrame:
     """The articles with `batch_id` and `pos`: groups of `size` in the order they are met."""
-    bucket = F.struct(F.coalesce("source_ord", F.lit(2**31 - 1)).alias("a"), F.floor(F.coalesce("entry_ord", F.lit(2**31 - 1)) / 500).alias("b"))
-    order = [F.col(c).asc_nulls_last() for c in ORDER]
-    return positions(unmatched, order, bucket).withColumn("batch_id", F.floor(F.col("position") / size).cast("bigint")).withColumn("pos", (F.col("position") % size).cast("bigint")).drop("position")
+    return positions(unmatched, ORDER).withColumn("batch_id", F.floor(F.col("position") / size).cast("bigint")).withColumn("pos", (F.col("position") % size).cast("bigint")).drop("position")
+
+
+def _item(size: int) -> Column:
+    return F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\nSummary: "), F.substring(F.coalesce("summary", F.lit("")), 1, size))
+
+
+def batch_prompts(batched: DataFrame, themes: list[str]) -> DataFrame:
+    """(`batch_id`, `prompt`): one question about all articles of a batch, in order, summaries at 300 characters."""
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _item(300).alias("item")))), lambda x: x.item), "\n\n")
+    head = f"Below are numbered-by-order news items. The themes are: {'; '.join(themes)}.\nAnswer with one line per item, in order, holding nothing but the name of the theme that fits it best.\n\n"
+    return batched.groupBy("batch_id").agg(F.concat(F.lit(head), items).alias("prompt"))
+
+
+def single_prompt(themes: list[str]) -> Column:
+    """A question about one article, its summary at 500 characters."""
+    return F.concat(F.lit(f"The themes are: {'; '.join(themes)}.\nName the one that fits this news item best, and write nothing else.\n\n"), _item(500))
 
 
 def match_theme(line: Column, themes: list[str]) -> Column:
@@ -76,6 +90,12 @@ def match_theme(line: Column, themes: list[str]) -> Column:
     return F.coalesce(*[F.when(F.contains(F.lower(line), F.lit(t.lower())), F.lit(t)) for t in themes]) if themes else F.lit(None).cast("string")
 
 
+def match_single(replies: DataFrame, themes: list[str], key: str = "id") -> DataFrame:
+    """(`key`, `theme`) of replies about one article each: null where the status isn't 200, something failed or no theme is named."""
+    ok = (F.coalesce("status", F.lit(200)) == 200) & F.col("error").isNull()
+    return replies.select(key, F.when(ok, match_theme(strip(F.coalesce("reply", F.lit(""))), themes)).alias("theme"))
+
+
 def parse_replies(batched: DataFrame, replies: DataFrame, themes: list[str]) -> DataFrame:
     """`batched` (`batch_id`, `pos`) with `theme` and `class_phase` from replies (`batch_id`, `reply`, `status`, `error`).
 

@@ -12,11 +12,16 @@ from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from newsgrid.session import cut, small
 
+#: Raised whenever texts are read differently, so that dictionaries kept before aren't used.
+VERSION = 1
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 # Month names and their common short forms in the six languages, by month.
@@ -132,6 +137,15 @@ def parse_instant(text: str | None, zone: str | None = None, day_first: bool | N
     return (local.replace(tzinfo=timezone.utc) - EPOCH) // timedelta(microseconds=1) - offset // timedelta(microseconds=1)
 
 
+@pandas_udf(LongType())
+def first_instant(one: pd.Series, two: pd.Series, three: pd.Series, zone: pd.Series, day_first: pd.Series) -> pd.Series:
+    """The first of three texts that denotes a moment, as `parse_instant` reads it; null where none does."""
+    out = []
+    for *texts, z, f in zip(one, two, three, zone, day_first):
+        out.append(next((us for t in texts if t and (us := parse_instant(t, z or None, None if pd.isna(f) else bool(f))) is not None), None))
+    return pd.Series(out, dtype="Int64")
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, zone, first = (batch.column(k).to_pylist() for k in range(3))
@@ -149,32 +163,37 @@ def date_dictionary(df: DataFrame, text: str, zone: str, day_first: str, known:
     if known is not None:
         same = [F.col(f"n.{k}").eqNullSafe(F.col(f"k.{k}")) for k in ("_raw", "_zone", "_first")]
         keys = keys.alias("n").join(known.alias("k"), same[0] & same[1] & same[2], "left_anti")
-    parsed = keys.mapInArrow(_parse_batches, "_raw string, _zone string, _first boolean, _utc_us bigint")
+    parsed = keys.mapInArrow(_parse_batches, _ENTRY)
     return parsed if known is None else known.select("_raw", "_zone", "_first", "_utc_us").unionByName(parsed)
 
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame | None:
-    """A dictionary kept at `path` (one Parquet folder per addition), or None where there is none yet."""
+    """A dictionary kept at `path` (one Parquet folder per addition), each entry once, or None where there is none yet.
+
+    Two runs that add the same entries at the same time may both write them; a text always denotes the same moment, so that one counts.
+    """
     try:
-        return spark.read.parquet(path)
+        kept = spark.read.schema(_ENTRY).parquet(path)
     except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        if "PATH_NOT_FOUND" in str(e):
             return None
         raise
+    return kept.groupBy("_raw", "_zone", "_first").agg(F.min("_utc_us").alias("_utc_us"))
+
+
+_ENTRY = "_raw string, _zone string, _first boolean, _utc_us bigint"
 
 
 def extend_dictionary(df: DataFrame, text: str, zone: str, day_first: str, path: str) -> DataFrame:
-    """Parse what the dictionary kept at `path` lacks, append it there, and return the whole dictionary."""
+    """Parse what the dictionary kept at `path` lacks, append it there, and return the whole dictionary, each entry once."""
     spark = df.sparkSession
+    keys = df.select(F.col(text).alias("_raw"), F.col(zone).alias("_zone"), F.col(day_first).alias("_first")).where(F.col("_raw").isNotNull()).distinct()
     known = load_dictionary(spark, path)
-    fresh = date_dictionary(df, text, zone, day_first)
     if known is not None:
         same = [F.col(f"n.{k}").eqNullSafe(F.col(f"k.{k}")) for k in ("_raw", "_zone", "_first")]
-        keys = df.select(F.col(text).alias("_raw"), F.col(zone).alias("_zone"), F.col(day_first).alias("_first")).where(F.col("_raw").isNotNull()).distinct()
         keys = keys.alias("n").join(known.alias("k"), same[0] & same[1] & same[2], "left_anti")
-        fresh = keys.mapInArrow(_parse_batches, "_raw string, _zone string, _first boolean, _utc_us bigint")
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    keys.mapInArrow(_parse_batches, _ENTRY).write.mode("append").parquet(path)
+    return load_dictionary(spark, path)
 
 
 def normalise_instants(

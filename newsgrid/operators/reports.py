@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgrid.operators.summarise import CLASS_ORDER, first_of
 from newsgrid.session import small
@@ -73,9 +73,22 @@ def overview_cards(classified: DataFrame, keywords: DataFrame, summaries: DataFr
     )
 
 
-def date_range(as_of: Column, days: int = 14) -> Column:
-    """The label of a window of days that ends with `as_of`."""
-    return F.concat(F.date_format(as_of - F.expr(f"INTERVAL {int(days)} DAYS"), "MMMM dd, yyyy"), F.lit(" - "), F.date_format(as_of, "MMMM dd, yyyy"))
+def date_range(as_of: Column, days: int = 14, first_year: bool = True) -> Column:
+    """The label of a window of days that ends with `as_of`; the overview leaves the first day's year out."""
+    first = F.date_format(as_of - F.expr(f"INTERVAL {int(days)} DAYS"), "MMMM dd, yyyy" if first_year else "MMMM dd")
+    return F.concat(first, F.lit(" - "), F.date_format(as_of, "MMMM dd, yyyy"))
+
+
+def by_count(overview: DataFrame) -> DataFrame:
+    """`source_overview` with `rank`, from 1: most articles first, of equal ones the source met first, then by name."""
+    window = Window.orderBy(F.desc("Articles"), F.asc("first_ord"), F.asc("Name"))  # one row a source
+    return overview.withColumn("rank", F.row_number().over(window).cast("bigint"))
+
+
+def source_list(articles: DataFrame) -> DataFrame:
+    """(`rank`, `source_name`): the names of all sources in order, each once; null names are left out."""
+    names = articles.where(F.col("source_name").isNotNull()).select("source_name").distinct()
+    return names.select(F.row_number().over(Window.orderBy("source_name")).cast("bigint").alias("rank"), "source_name")  # one row a source
 
 
 def csv_name(theme: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgrid.functions.regex import strip
 
@@ -24,6 +24,10 @@ FEW_TEXTS = (
 )
 
 
+# Texts where no summary came back.
+FAILED = ("Error calling Ollama API: ", "Error generating summary: ", "Unable to analyze at this time.", "Please try again later.", "")
+
+
 def first_of(articles: DataFrame, by: str, n: int, order: list[str]) -> DataFrame:
     """The first `n` articles of each value of `by`, with their `rank` from 1."""
     window = Window.partitionBy(by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
@@ -56,6 +60,35 @@ def summary_status(counts: DataFrame) -> DataFrame:
     return counts.select("theme", n.cast("bigint").alias("n"), F.when(n == 0, "none").when(n < ENOUGH, "few").otherwise("request").alias("status"), text.alias("what_is_happening"))
 
 
+def summary_prompt() -> Column:
+    """The question about a theme's articles (`theme`, `prompt`): who is to answer, the articles, and the four sections wanted."""
+    names = [m for m, _, _ in SECTIONS]
+    who = "System: You analyse technical news for readers who know the field. Stay factual and exact, leave out hype, and write plainly."
+    wanted = (
+        f"\n\nWrite four sections under these headings:\n{names[0]}: the main developments in three to five sentences\n{names[1]}: what they mean, in two to five sentences\n"
+        f"{names[2]}: two to five points to follow up, each on a line that begins with a dash\n{names[3]}: the five articles most worth reading, each on a line of the form\n- Title | Source | URL | Reason"
+    )
+    return F.concat(F.lit(who + "\n\nUser: News items of the past two weeks on the theme "), F.col("theme"), F.lit(":\n\n"), F.col("prompt"), F.lit(wanted))
+
+
+def answered(replies: DataFrame, key: str = "theme") -> DataFrame:
+    """(`key`, `reply`) of the replies that came back with status 200."""
+    return replies.where((F.coalesce("status", F.lit(200)) == 200) & F.col("error").isNull()).select(key, "reply")
+
+
+def failed_summaries(replies: DataFrame, key: str = "theme") -> DataFrame:
+    """The four sections of the replies that didn't come back, telling the status or the error."""
+    bad = replies.where(F.col("error").isNotNull() | (F.coalesce("status", F.lit(200)) != 200))
+    told = F.when(F.col("error").isNotNull(), F.concat(F.lit(FAILED[1]), "error")).otherwise(F.concat(F.lit(FAILED[0]), F.col("status").cast("string")))
+    return bad.select(key, told.alias(SECTIONS[0][1]), *[F.lit(t).alias(n) for (_, n, _), t in zip(SECTIONS[1:], FAILED[2:])])
+
+
+def standing_summaries(status: DataFrame) -> DataFrame:
+    """The four sections of the themes of `summary_status` that aren't asked about."""
+    rest = [F.when(F.col("status") == "none", NONE_TEXTS[k + 1]).otherwise(FEW_TEXTS[k]).alias(n) for k, (_, n, _) in enumerate(SECTIONS[1:])]
+    return status.where("status != 'request'").select("theme", SECTIONS[0][1], *rest)
+
+
 def parse_sections(replies: DataFrame, key: str = "theme") -> DataFrame:
     """(`key`, four sections) of replies (`key`, `reply`).
 

@@ -7,10 +7,19 @@ import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-_SCHEMA = "source_name string, entry_ord int, title string, summary string, description string, link string, dc_date string, published string, updated string, error string"
+from newsgrid.schema import FEED_ENTRY
+
+_SCHEMA = f"{FEED_ENTRY}, error string"
+
+
+#: How readers of feeds and pages name themselves.
+USER_AGENT = "Mozilla/5.0 (compatible; newsgrid)"
+#: The columns between name and error of a row that only tells an error.
+_NOTHING = (None,) * 10
 
 
 def _local(tag: str) -> str:
@@ -38,12 +47,21 @@ def parse_feed(source_name: str, xml: bytes | str) -> Iterator[tuple]:
                     name = _local(c.tag)
                     value = (c.get("href") or _text(c)) if name == "link" else _text(c)
                     got.setdefault({"pubdate": "published", "date": "dc_date", "content": "summary" if "description" not in got else "content", "encoded": "content"}.get(name, name), value)
-                yield (source_name, n, got.get("title"), got.get("summary"), got.get("description"), got.get("link"), got.get("dc_date"), got.get("published"), got.get("updated"), None)
+                yield (source_name, n, got.get("title"), got.get("summary"), got.get("description"), got.get("link"), None, None, got.get("dc_date"), got.get("published"), got.get("updated"), None)
                 n += 1
     except ET.ParseError as e:
         error = str(e)
     if error:
-        yield (source_name, None, None, None, None, None, None, None, None, error)
+        yield (source_name, *_NOTHING, error)
+
+
+def fetch(url: str, timeout: float) -> bytes:
+    """What an address holds: over HTTP with a browser's name, or from a file."""
+    if "://" in url and not url.startswith("file:"):
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": USER_AGENT}), timeout=timeout) as r:
+            return r.read()
+    with open(url.removeprefix("file://"), "rb") as f:
+        return f.read()
 
 
 class _Feed(InputPartition):
@@ -61,15 +79,9 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         try:
-            if "://" in partition.url and not partition.url.startswith("file:"):
-                request = urllib.request.Request(partition.url, headers={"User-Agent": "newsgrid"})
-                with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                    body = r.read()
-            else:
-                with open(partition.url.removeprefix("file://"), "rb") as f:
-                    body = f.read()
-        except OSError as e:
-            yield (partition.name, None, None, None, None, None, None, None, None, str(e))
+            body = fetch(partition.url, self.timeout)
+        except (OSError, ValueError) as e:
+            yield (partition.name, *_NOTHING, str(e))
             return
         yield from parse_feed(partition.name, body)
 
@@ -92,3 +104,18 @@ def read_feeds(spark: SparkSession, feeds: list[dict[str, str]], timeout: float
     """Entries of feeds given as `name` and `url`; a feed that can't be read gives a row with `error`."""
     spark.dataSource.register(FeedSource)
     return spark.read.format("newsfeed").option("feeds", json.dumps(feeds)).option("timeout", str(timeout)).load()
+
+
+def parse_feeds(documents: DataFrame) -> DataFrame:
+    """Entries of stored feeds (`source_name`, `xml`), in the form of `read_feeds`; a null one has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for name, xml in zip(*[c.to_pylist() for c in b.columns]) if xml for r in parse_feed(name, xml)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], _NAMES)
+
+    return documents.select("source_name", "xml").mapInArrow(run, _SCHEMA)
+
+
+_NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
+_TYPES = [{"int": pa.int32(), "timestamp_ntz": pa.timestamp("us")}.get(c.split()[1], pa.string()) for c in _SCHEMA.split(", ")]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from newsgrid.schema import PAGE
+from newsgrid.sources.feeds import fetch
 
 #: Elements of a page that are looked at.
 LIMIT = 20
@@ -111,3 +116,43 @@ def scrape(pages: DataFrame) -> DataFrame:
 
     found = pages.select("source_name", "url", "html").mapInPandas(run, "source_name string, entry_ord int, title string, link string")
     return found.withColumn("id", F.md5(F.concat("link", "title")))
+
+
+class _Page1(InputPartition):
+    def __init__(self, name: str, url: str) -> None:
+        self.name, self.url = name, url
+
+
+class _PageReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        self.pages = [_Page1(p["name"], p["url"]) for p in json.loads(options["pages"])]
+        self.timeout = float(options.get("timeout", "15"))
+
+    def partitions(self):
+        return self.pages
+
+    def read(self, partition):
+        try:
+            yield (partition.name, partition.url, fetch(partition.url, self.timeout).decode("utf-8", "replace"), None)
+        except (OSError, ValueError) as e:
+            yield (partition.name, partition.url, None, str(e))
+
+
+class PageSource(DataSource):
+    """`spark.read.format("newspage")` with `pages`, a JSON list of names and addresses, and `timeout` in seconds."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "newspage"
+
+    def schema(self) -> str:
+        return f"{PAGE}, error string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PageReader(self.options)
+
+
+def read_pages(spark: SparkSession, pages: list[dict[str, str]], timeout: float = 15) -> DataFrame:
+    """Pages given as `name` and `url`, one partition each; one that can't be read has null for `html` and tells the `error`."""
+    spark.dataSource.register(PageSource)
+    return spark.read.format("newspage").option("pages", json.dumps(pages)).option("timeout", str(timeout)).load()

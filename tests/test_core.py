@@ -64,6 +64,14 @@ def test_words(spark):
     assert W.cloud_frequencies(df.limit(0), stop).count() == 0
 
 
+def test_cloud_pairs_fold_with_their_words(spark):
+    schema_ = "theme string, title string, summary string, word string"
+    texts = ["language models"] * 40 + ["language model"] + ["models grow"] * 5 + ["x language y"] * 3 + [None] + [f"other{chr(97 + k % 26)}word" for k in range(400)]
+    df = spark.createDataFrame([("t", t, None, "clash") for t in texts], schema_)
+    got = {r.term: r.n for r in W.cloud_frequencies(df, spark.createDataFrame([("grow",)], "word string")).collect()}
+    assert got["language model"] == 41 and got["model"] == 5 and got["language"] == 3 and "models" not in got and "language models" not in got
+
+
 def test_html_pages_feeds(spark, tmp_path):
     assert html_text("<p>a <b>b</b></p><script>x</script>&amp;c") == "a b &c"
     assert html_text(None) == "" and html_text("<<<p") is not None
@@ -71,7 +79,7 @@ def test_html_pages_feeds(spark, tmp_path):
     many = "".join(f'<li class="item"><a href="/{k}">A long headline {k}</a></li>' for k in range(25))
     assert len(headlines("http://a.com", many)) == 20
     xml = "<rss><channel><item><title>One</title><link>u</link></item></channel></rss>"
-    assert [r[2] for r in parse_feed("a", xml)] == ["One"]
+    assert [r[2] for r in parse_feed("a", xml)] == ["One"] and len(next(parse_feed("a", xml))) == 12
     assert list(parse_feed("a", "<rss><item>"))[-1][-1]
     (tmp_path / "f.xml").write_text(xml)
     rows = read_feeds(spark, [{"name": "a", "url": str(tmp_path / "f.xml")}, {"name": "b", "url": str(tmp_path / "none.xml")}]).collect()
@@ -96,6 +104,137 @@ def test_pipeline(spark, keywords):
     assert {r.theme: r.what_is_happening for r in out.summaries.collect()}["T1 second"] == "h"
 
 
+def test_pipeline_asks_once_and_keeps_inputs_apart(spark, keywords, tmp_path):
+    class Counting(Offline):
+        """Tells how often it was asked by a file that all workers append to."""
+
+        def __init__(self, path, reply):
+            Offline.__init__(self, reply)
+            self.path = str(path)
+
+        def complete(self, prompts, options=None):
+            with open(self.path, "a") as f:
+                f.write("".join(f"{options.tokens}\n" for _ in prompts))
+            assert all("theme" in p for p in prompts)
+            return Offline.complete(self, prompts)
+
+    src = spark.createDataFrame([(0, "Wired", "u", "rss", "news")], schema.SOURCE)
+
+    def articles(n):
+        return spark.createDataFrame([(str(k), f"A longer title {k}", "nothing", f"l{k}", None, "Wired", 0, k, None, None) for k in range(n)], schema.ARTICLE)
+
+    client = Counting(tmp_path / "asked", "T1 second")
+    first = pipeline.run(articles(12), src, keywords, "2025-01-01 00:00:00", client)
+    assert sorted(r.theme for r in first.articles.collect()) == ["T0 first"] * 10 + ["T1 second"] * 2
+    assert {r.theme: r.what_is_happening for r in first.summaries.collect()}["T0 first"] == "Unable to generate summary."
+    assert sorted((tmp_path / "asked").read_text().split()) == ["1500", "200", "200"]
+    assert pipeline.run(articles(20), src, keywords, "2025-01-01 00:00:00", client).articles.count() == 20
+    again = pipeline.run(articles(12), src, keywords, "2025-01-01 00:00:00", client)
+    assert again.articles.count() == 12 and (tmp_path / "asked").read_text().split().count("200") == 4
+    assert pipeline.cache_info()["ttl_seconds"] == 21600
+    pipeline.clear_snapshots(spark)
+    assert pipeline.run(articles(1), src, keywords, "2025-01-01 00:00:00", client).articles.count() == 1
+    got = {r.id: r.theme for r in pipeline.classify_singly(articles(2), keywords, Offline("I say: t1 SECOND")).collect()}
+    assert got == {"0": "T1 second", "1": "T1 second"}
+    assert {r.theme for r in pipeline.classify_singly(articles(2), keywords, Offline("none of them")).collect()} == {None}
+
+
+def test_http_client(monkeypatch):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from newsgrid.model_client import SUMMARY, Http
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200), self.end_headers()
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(500 if "bad" in body["prompt"] else 200), self.end_headers()
+            self.wfile.write(json.dumps({"response": f"{body['options']['num_predict']} {self.headers['Authorization']}"}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("NEWSGRID_MODEL_URL", f"http://127.0.0.1:{server.server_port}/")
+    monkeypatch.setenv("NEWSGRID_MODEL_KEY", "k")
+    assert Http().available() and Http().complete(["ok", "bad"], SUMMARY) == [{"reply": "1500 Bearer k", "status": 200, "error": None}, {"reply": None, "status": 500, "error": None}]
+    server.shutdown()
+    server.server_close()
+    assert Http().complete(["ok"])[0]["error"] and not Http().available()
+
+
+def test_sources_from_files_to_articles(spark, tmp_path):
+    from newsgrid.sources.gather import gather
+
+    (tmp_path / "f.xml").write_text("<rss><channel><item><title>One</title><link>http://x/1</link><description>&lt;b&gt;a&lt;/b&gt;</description><pubDate>4 de septiembre de 2024 a las 05:23</pubDate></item><item><title>Two</title><link>http://x/2</link></item></channel></rss>")
+    (tmp_path / "p.html").write_text('<a href="http://x/1">The same link as the feed has</a><a href="http://x/3">Another headline of the page</a>')
+    rows = [(0, "feed", str(tmp_path / "f.xml"), "rss", "c", "America/Bogota", True), (1, "page", str(tmp_path / "p.html"), "web", "c", None, None), (2, "gone", str(tmp_path / "none"), "web", "c", None, None), (3, "lost", str(tmp_path / "none"), "rss", "c", None, None)]
+    sources = spark.createDataFrame(rows, f"{schema.SOURCE}, zone_name string, day_first boolean")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = {r.link: (r.title, r.summary, r.source_name, r.source_ord, str(r.published_at)) for r in gather(spark, sources).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == {"http://x/1": ("One", "a", "feed", 0, "2024-09-04 10:23:00"), "http://x/2": ("Two", "", "feed", 0, "None"), "http://x/3": ("Another headline of the page", "", "page", 1, "None")}
+
+
+def test_feed_dates_and_nulls(spark):
+    rows = [("a", k, "t", None, None, f"l{k}", None, None, *d) for k, d in enumerate([("2025-01-06T10:00:00+02:00", None, None), (None, "not a date", "Mon, 06 Jan 2025 10:00:00 GMT"), (None, None, None), ("", "6 Jan 2025", None)])]
+    out = A.from_feed(spark.createDataFrame(rows, schema.FEED_ENTRY), spark.createDataFrame([(0, "a", "u", "rss", "c")], schema.SOURCE)).collect()
+    assert [str(r.published_at) for r in sorted(out, key=lambda r: r.entry_ord)] == ["2025-01-06 08:00:00", "2025-01-06 10:00:00", "None", "2025-01-06 00:00:00"]
+    assert A.from_feed(spark.createDataFrame([], schema.FEED_ENTRY), spark.createDataFrame([], schema.SOURCE)).count() == 0
+
+
+def test_csv_bullets_and_labels(spark, tmp_path):
+    R.write_csv(spark.createDataFrame([('a "b"', "c,d"), ("é", None)], "Title string, Source string"), str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    assert text.startswith("Title,Source\n") and '"a ""b""","c,d"' in text
+    df = spark.createDataFrame([("- a\n\n b ",), ("one",), (None,)], "t string")
+    assert [r.b for r in df.select(S.watch_bullets(F.col("t")).alias("b")).collect()] == [["- a", "b"], ["one"], [None]]
+    at = F.lit("2025-01-05 00:00:00").cast("timestamp_ntz")
+    assert spark.range(1).select(R.date_range(at, first_year=False)).first()[0] == "December 22 - January 05, 2025"
+
+
+def test_landing_streams(spark, tmp_path):
+    from newsgrid.streaming import landing
+
+    rows = [("l1", "a", datetime(2025, 1, 1, 1)), ("l1", "b", datetime(2025, 1, 1, 2)), ("l2", "a", datetime(2025, 1, 2, 1))]
+    df = spark.createDataFrame(rows, "link string, source_name string, fetched_at timestamp_ntz")
+    df.write.parquet(str(tmp_path / "in"))
+    for name, stream, mode in (("links", landing.unique_links(landing.landed(spark, str(tmp_path / "in"), df.schema)), "append"), ("counts", landing.counts_by_window(landing.landed(spark, str(tmp_path / "in"), df.schema)), "complete")):
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(r.link for r in spark.table("links").collect()) == ["l1", "l2"]
+    assert sorted((r.source_name, r.n) for r in spark.table("counts").collect()) == [("a", 1), ("a", 1), ("b", 1)]
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    from newsgrid import session
+
+    df = session.cut(spark.range(5))
+    assert df.count() == 5
+    session.clear_cuts()
+    assert not list((__import__("pathlib").Path(session.shared_dir(spark)) / f"cuts-{spark.sparkContext.applicationId}").glob("*"))
+    assert session.hash_sample(spark.range(1000), "id", 100).count() in range(60, 140) and session.hash_sample(spark.range(9), "id", 100).count() == 9
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: Conf()})()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster())
+
+
 def test_batches(spark):
     rows = [(str(k), k % 3, k, None) for k in range(25)]
     out = C.batches(spark.createDataFrame(rows, "id string, source_ord int, entry_ord int, published_at timestamp_ntz")).collect()
@@ -118,3 +257,13 @@ def test_entry_without_subpackage():
     names = set(entry.queries())
     assert "theme_counts" in names and set(entry.oracle_sql()) <= names
     assert importlib.util.find_spec("newsgrid.llm") is None or "p2_found" in names
+
+
+def test_entry_with_a_library_missing(monkeypatch):
+    import __spark_entry__ as entry
+
+    def missing(name):
+        raise ImportError(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    assert "theme_counts" in entry.queries() and "p2_found" not in entry.queries() and "theme_counts" in entry.oracle_sql()

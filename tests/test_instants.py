@@ -54,3 +54,13 @@ def test_dictionary_grows(spark, tmp_path):
     schema, path = "t string, z string, f boolean", str(tmp_path / "dict")
     assert extend_dictionary(spark.createDataFrame([("2024-01-01", None, None)], schema), "t", "z", "f", path).count() == 1
     assert extend_dictionary(spark.createDataFrame([("2024-01-01", None, None), ("2024-01-02", None, None)], schema), "t", "z", "f", path).count() == 2
+
+
+def test_dictionary_with_repeated_entries(spark, tmp_path):
+    src = spark.createDataFrame([("a", "Europe/Paris", True)], SOURCES)
+    arts = spark.createDataFrame([("1", "2024-01-01 10:00", "a", None, 1), ("2", "no date", "a", None, 1)], ARTICLES)
+    path = str(tmp_path / "kept")
+    assert normalise_instants(arts, src, path=path).count() == 2
+    spark.read.parquet(path).write.mode("append").parquet(path)  # another run appended the same entries
+    assert normalise_instants(arts, src, path=path).count() == 2
+    assert found_instants(arts, src, path).count() == 1
