@@ -28,6 +28,8 @@ SKETCH, SKETCH_LEAST = 24, 11
 HOT = 20_000
 #: Copies with the same words up to which `expand_pairs` gives every pair where no other limit is named.
 EXPAND = 64
+#: Places over which the members of a class are spread when they look up their representative.
+SALT = 16
 #: Members of a class that are paired in one place; larger classes are split into blocks.
 BLOCK = 2_000
 
@@ -234,22 +236,25 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             part = last.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
             spread = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
             spread = spread.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rid", "b")
-            found = found.unionByName(_met(spread, threshold, True).where(~F.col("late")).select("x", "y"))
+            third = cut(_met(spread, threshold, True), "banding")
+            if third.where("late").limit(1).count():
+                raise RuntimeError("a pair of blocks holds more rows than are compared in one place")
+            found = found.unionByName(third.select("x", "y"))
     return found.distinct()
 
 
 def _hashed(texts: DataFrame) -> DataFrame:
-    """(`rid`, `w`): hashes of the distinct words of (`rid`, `title`, `summary`)."""
+    """(`rid`, `rep`, `w`): hashes of the distinct words of (`rid`, `rep`, `title`, `summary`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for b in batches:
-            each = [sorted(hasher(words_of(t, s))) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            each = [sorted(hasher(words_of(t, s))) for t, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             flat = np.fromiter((h for x in each for h in x), np.uint64).view(np.int64)
             offsets = np.r_[0, np.cumsum(np.fromiter(map(len, each), np.int32, len(each)))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["rid", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["rid", "rep", "w"])
 
-    return texts.select("rid", "title", "summary").mapInArrow(run, "rid bigint, w array<bigint>")
+    return texts.select("rid", "rep", "title", "summary").mapInArrow(run, "rid bigint, rep string, w array<bigint>")
 
 
 def near_duplicates(df: DataFrame, key: str = "id", title: str = "title", summary: str = "summary", threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -264,19 +269,20 @@ def near_duplicates(df: DataFrame, key: str = "id", title: str = "title", summar
     classes = cut(classes, "classes")
     pairs = candidates(classes.select("rid", "a", "b"), threshold)
     pairs = cut(pairs, "candidates")
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct()
-    wanted = classes.select("rid", "rep").join(small(needed, 300_000), "rid", "left_semi")
-    wanted = small(wanted.select("rid", F.col("rep").alias("_id")), 300_000)
-    texts = df.select(F.col(key).cast("string").alias("_id"), F.col(title).alias("title"), F.col(summary).alias("summary")).join(wanted, "_id").dropDuplicates(["_id"])
+    needed = cut(pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct(), "needed")
+    wanted = cut(classes.select("rid", "rep").join(small(needed, 300_000), "rid", "left_semi"), "needed")
+    texts = df.select(F.col(key).cast("string").alias("rep"), F.col(title).alias("title"), F.col(summary).alias("summary")).join(small(wanted, 300_000), "rep").dropDuplicates(["rep"])
     words = cut(_hashed(texts), "words")
-    both = pairs.join(words.select(F.col("rid").alias("x"), F.col("w").alias("wx")), "x").join(words.select(F.col("rid").alias("y"), F.col("w").alias("wy")), "y")
+    # Representatives travel with the words: where two hash alike, both are compared and each pair keeps its own names.
+    x, y = (words.select(F.col("rid").alias(k), F.col("rep").alias(f"r{k}"), F.col("w").alias(f"w{k}")) for k in "xy")
+    both = pairs.join(x, "x").join(y, "y")
     shared = F.size(F.array_intersect("wx", "wy"))
-    scored = both.select("x", "y", (shared / (F.size("wx") + F.size("wy") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
-    names = wanted.select("rid", "_id")
-    named = scored.join(names.select(F.col("rid").alias("x"), F.col("_id").alias("p")), "x").join(names.select(F.col("rid").alias("y"), F.col("_id").alias("q")), "y")
-    linked = named.select(F.least("p", "q").alias("rep_a"), F.greatest("p", "q").alias("rep_b"), "similarity").where("rep_a < rep_b")
+    scored = both.select("rx", "ry", (shared / (F.size("wx") + F.size("wy") - shared)).alias("similarity")).where((F.col("similarity") >= threshold) & (F.col("rx") != F.col("ry")))
+    linked = scored.select(F.least("rx", "ry").alias("rep_a"), F.greatest("rx", "ry").alias("rep_b"), "similarity").dropDuplicates(["rep_a", "rep_b"])
     several = classes.where(F.col("rep") != F.col("_last")).select("fp", "rep")
-    members = signed.select("fp", "id").join(several, "fp").select("rep", "id").distinct()
+    # A class may hold a third of all records: its row goes to `SALT` places, and its records are spread over them.
+    spread = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    members = signed.select("fp", "id", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt")).join(spread, ["fp", "salt"]).select("rep", "id").distinct()
     alone = classes.where(F.col("rep") == F.col("_last")).select("rep", F.col("rep").alias("id"))
     return linked, members.unionByName(alone)
 

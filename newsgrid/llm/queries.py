@@ -40,7 +40,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "article").where("id is not null")
-    return encoding.repair_encoding(rows).groupBy("id", "field_name").agg(F.first("chain").alias("chain"), F.first("restored").alias("restored"))
+    return encoding.repair_encoding(rows).groupBy("id", "field_name").agg(F.min(F.struct("chain", "restored")).alias("r")).select("id", "field_name", "r.chain", "r.restored")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
