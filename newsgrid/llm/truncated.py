@@ -181,10 +181,11 @@ def _signed(x: int) -> int:
 
 
 def ends_plainly(text: Column) -> Column:
-    """Whether a text plainly ends a sentence: with a stop that is no abbreviation's, no dots and no remark's. `tail_of` asks the same."""
-    bare = F.regexp_replace(text, r"(?U)\s+$", "")
-    stop = bare.rlike("[.?!]$") & ~bare.endswith("...")
-    return stop & ~bare.rlike(f"(?i){_ABBREVIATION.pattern}") & ~bare.rlike(f"(?iU){_REMARK_STOP.pattern}")
+    """Whether a text plainly ends a sentence: with a stop that is no abbreviation's, no dots and no remark's. `tail_of` asks the same; the
+    last `TAIL` characters hold all that is asked for, and a text with more blanks than that at its end is left to `tail_of`."""
+    bare = F.regexp_replace(F.right(text, F.lit(TAIL)), r"(?U)\s+$", "")
+    stop = F.right(bare, F.lit(1)).isin(".", "?", "!") & ~bare.endswith("...")
+    return F.when(stop, ~bare.rlike(f"(?i){_ABBREVIATION.pattern}") & ~bare.rlike(f"(?iU){_REMARK_STOP.pattern}")).otherwise(F.lit(False))
 
 
 def tail_of(text: str | None) -> tuple[str, str | None] | None:
@@ -252,10 +253,9 @@ def tails(df: DataFrame, key: str = "id", text: str = "summary", source: str = "
         for b in batches:
             at, core, mark, whole, edge, size = [], [], [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
-                found = tail_of(t)
-                if found is None or _is_residue(machine, t):
+                text_, mark_ = tail_of(t) or (t, None)
+                if not t.strip() or _is_residue(machine, t):
                     continue
-                text_, mark_ = found
                 at.append(k), core.append(" ".join(text_.split())), mark.append(mark_), size.append(len(t))
                 whole.append(bool(_FINAL.search(text_[-TAIL:]) and not _ABBREVIATION.search(text_[-TAIL:])))
                 edge.append(text_[-1] in ",;“„«(&")
